@@ -1,0 +1,221 @@
+"""The operators on JVM expressions: mixing, PII, URL filter, quality rules."""
+
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from latticework.llm import mixing, pii, quality, queries, url_filter
+
+from . import brute
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# --- mixing
+
+
+def targets(sizes, cap=3.0):
+    """Share, stop at the cap, share again."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: 1.0 + k % 3 for k, s in enumerate(order)}
+    total, held = float(sum(sizes.values())), {}
+    while len(held) < len(sizes):
+        level = (total - sum(held.values())) / sum(w for s, w in weight.items() if s not in held)
+        over = {s: cap * sizes[s] for s in order if s not in held and level * weight[s] > cap * sizes[s]}
+        if not over:
+            return {s: held.get(s, level * weight[s]) for s in order}
+        held |= over
+    return held
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_mix_meets_targets(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    sizes = Counter()
+    size_of = {r["doc_id"]: (len(brute.words(r["text"])), r["source"]) for r in docs.collect()}
+    for n, source in size_of.values():
+        sizes[source] += n
+    want, taken, largest = targets(sizes), Counter(), Counter()
+    assert len(rows) == len(size_of)
+    for r in rows:
+        n, source = size_of[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (n, sizes[source]) and r["target"] == pytest.approx(want[source], rel=1e-12)
+        assert r["taken"] <= 3 * n and (n == 0 or r["taken"] % n == 0)
+        taken[source] += r["taken"]
+        largest[source] = max(largest[source], n)
+    for source, aim in want.items():
+        assert abs(taken[source] - aim) <= 1.5 * largest[source]
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs).collect()))
+
+
+def test_mix_odd_rows(spark):
+    rows = [(1, "a b", None, 7), (2, None, None, 7), (3, "", "x", 7), (4, "a " * 50, "x", 7), (4, "a " * 50, "x", 7), (None, "q", "y", 7), (6, "w " * 3, "z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rank int")
+    got = mixing.mix(docs).collect()
+    want = targets({None: 2, "x": 100, "y": 1, "z": 3})
+    assert len(got) == len(rows) and {r["source"]: r["target"] for r in got} == pytest.approx(want)
+    assert mixing.mix(docs.where("false")).collect() == []
+    copies = mixing.mixed(docs)
+    assert copies.columns == docs.columns and copies.count() == sum(r["copies"] for r in got if r["taken"])
+    zero = mixing.mix(docs.where("doc_id in (2, 3)")).collect()
+    assert all(r["taken"] == 0 and r["target"] == 0 for r in zero)
+
+
+# --- PII
+
+
+def swap(spark, *texts):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    return [(r["text"], r["n_entities"]) for r in pii.pseudonymise(docs).orderBy("doc_id").collect()]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pii_formats(spark):
+    mail, card, phone, address = "Ann.Lee72@mail3.example.com", "4111 1111 1111 1111", "+1 (017) 555-7713", "97.51.17.173"
+    iban, ssn, secret = "DE89 3704 0044 0532 0130 00", "123-45-6789", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    got = swap(spark, mail, card, phone, address, iban, ssn, f'token = "{secret}"', "Mrs. Maria Jones met Mr. Smith", "Госпожа Иванова")
+    texts = [t for t, _ in got]
+    assert [n for _, n in got] == [1, 1, 1, 1, 1, 1, 1, 2, 1]
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}\d\d@[a-z]{4}\d\.[a-z]{7}\.com", texts[0]) and texts[0] != mail
+    assert re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", texts[1]) and luhn(texts[1].replace(" ", "")) and texts[1] != card
+    assert re.fullmatch(r"\+1 \(\d{3}\) 555-\d{4}", texts[2]) and texts[2] != phone
+    assert re.fullmatch(r"\d\d\.\d\d\.\d\d\.\d{3}", texts[3]) and all(int(x) < 256 for x in texts[3].split(".")) and texts[3] != address
+    assert re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", texts[4]) and texts[4] != iban
+    whole = texts[4].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1
+    assert re.fullmatch(r"\d{3}-\d\d-\d{4}", texts[5]) and texts[5] != ssn
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', texts[6]) and secret not in texts[6]
+    m = re.fullmatch(r"Mrs\. (\w+) \w+ met Mr\. (\w+)", texts[7])
+    assert m[1] in pii.GIVEN["latin", "f"] and "Jones" not in texts[7] and "Smith" not in texts[7]
+    assert re.fullmatch(r"Госпожа [А-Я][а-я]+", texts[8]) and "Иванова" not in texts[8]
+
+
+def test_pii_coreference_and_distinctness(spark):
+    many = [f"call +1 (555) 555-{k:04d} or ({k % 1000:03d}) 555-0000" for k in range(300)]
+    same = ["mail a.b@x.org and A.B@x.org.", "again a.b@x.org", "card 4111111111111111 is 4111-1111-1111-1111"]
+    got = [t for t, _ in swap(spark, *many, *same)]
+    first, second = re.fullmatch(r"mail (\S+) and (\S+)\.", got[300]).groups()
+    assert first.lower() == second.lower() and got[301] == f"again {first}"
+    plain, spaced = re.fullmatch(r"card (\d+) is (\S+)", got[302]).groups()
+    assert plain == spaced.replace("-", "")
+    phones = [x for t in got[:300] for x in re.findall(r"\+1 \(\d+\) 555-\d{4}", t)]
+    assert len(set(phones)) == 300
+
+
+def test_pii_clashes_are_derived_again(spark):
+    """Ten thousand addresses of four one-digit octets nearly fill their format."""
+    ips = [f"{k // 1000}.{k // 100 % 10}.{k // 10 % 10}.{k % 10}" for k in range(0, 10000, 4)]
+    got = [t for t, _ in swap(spark, *ips)]
+    assert len(set(got)) == len(ips)
+    assert not set(got) & set(ips)
+
+
+def test_pii_odd_rows(spark):
+    text = "x" * 200_000 + " a@b.org " + "1" * 5000 + "+" * 5000
+    clean = "Released under CC BY-NC 4.0. Version 2.0, page 3."
+    got = swap(spark, None, "", clean, text)
+    assert got[:3] == [(None, 0), ("", 0), (clean, 0)]
+    assert got[3][1] == 1 and len(got[3][0]) == len(text)
+    docs = spark.createDataFrame([(1, "a@b.org", "x", "y"), (1, "a@b.org", "x", "y"), (None, None, None, None)], "doc_id long, text string, type string, n_entities string")
+    rows = pii.pseudonymise(docs).collect()
+    assert len(rows) == 3 and len({r["text"] for r in rows}) == 2
+    assert pii.pseudonymise(docs.where("false")).collect() == []
+    assert not re.search("Python|Arrow|Pandas", plan_of(pii.pseudonymise(docs)))
+
+
+# --- URL filter
+
+
+def test_urls(spark):
+    urls = [
+        ("HTTP://Www.Example.NET/en/x?q=1", "www.example.net", "/en/x", "example.net/en/", "allow"),
+        ("http://a.net/", "a.net", "/", "net/", "block"),
+        ("http://a.net", "a.net", "", None, "allow"),
+        ("http://xnet/", "xnet", "/", None, "allow"),
+        ("https://www.example.com/de/1#t", "www.example.com", "/de/1", "example.com/de/", "block"),
+        ("https://q.org/fr/", "q.org", "/fr/", "org/fr/", "allow"),
+        ("https://sub.bad.org/p", "sub.bad.org", "/p", None, "block"),
+        ("https://notbad.org/p", "notbad.org", "/p", None, "allow"),
+        ("https://part.info/a/b/c", "part.info", "/a/b/c", None, "block"),
+        ("https://part.info/a/bc", "part.info", "/a/bc", None, "allow"),
+        ("https://part.info/x.html?y", "part.info", "/x.html", None, "block"),
+        ("no scheme.net/", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+        ("a://b://c.org/d", "b:", "//c.org/d", None, "allow"),
+        ("http://é.org?x/", "é.org", "", None, "allow"),
+        ("http://" + "/x" * 20000, "", "/x" * 20000, None, "allow"),
+        ("", "", "", None, "allow"),
+    ]
+    pages = spark.createDataFrame([(k, u[0], "z") for k, u in enumerate(urls)] + [(0, urls[0][0], "z")], "page_id long, url string, host string")
+    listed = spark.createDataFrame([("bad.org/",), ("part.info/a/b/",), ("part.info/x.html",), (None,)], "url string")
+    got = {(r["page_id"], r["url"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, listed).collect()}
+    assert got == {(k, *u) for k, u in enumerate(urls)}
+    assert url_filter.judge(pages, listed).count() == len(urls) + 1
+    assert url_filter.judge(pages, listed.where("false")).where("verdict = 'block'").count() == 2
+    assert url_filter.judge(pages.where("false"), listed).collect() == []
+
+
+def test_bloom_is_only_a_prefilter(spark, monkeypatch):
+    """With one bit set for an entry and few blocks most pages are possible hits; verdicts stay exact."""
+    pages = spark.createDataFrame([(k, f"http://h{k}.info/p") for k in range(500)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{k}.info/",) for k in range(0, 1000, 7)], "url string")
+    monkeypatch.setattr(url_filter, "BITS", 1)
+    monkeypatch.setattr(url_filter, "BLOCKS_PER_ENTRY", 1e-9)
+    got = {r["page_id"] for r in url_filter.judge(pages, listed).where("verdict = 'block'").collect()}
+    assert got == {k for k in range(500) if k % 7 == 0}
+
+
+# --- quality
+
+
+def base(text):
+    own, lines = brute.words(text), [x for x in (text or "").split("\n") if brute.words(x)]
+    places = Counter(tuple(own[i : i + 5]) for i in range(len(own) - 4))
+    covered = {j for i in range(len(own) - 4) if places[tuple(own[i : i + 5])] > 1 for j in range(i, i + 5)}
+    return len(own), sum(map(len, own)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_base_counts(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = quality.judge(docs)
+    assert not re.search("Python|Arrow|Pandas", plan_of(got))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in got.collect():
+        want = base(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        failed = want[0] < 10 or 100 * want[4] > 20 * want[0]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+        text = texts[r["doc_id"]]
+        if not failed and text.upper() != text and not re.search(r"###|\*\*\*|\$\$\$|&&&|%%%|!!", text):
+            assert r["kept"], text[:200]
+        if text.upper() == text and want[0] > 20:
+            assert not r["kept"]
+
+
+def test_quality_odd_rows(spark):
+    rows = [(1, None, "en"), (2, "", None), (3, "a b c d e f a b c d e", "en"), (3, "a b c d e f a b c d e", "en"), (4, "x " * 20000, "xx"), (5, "\n\n a\n a\nb\x1c \n", None), (None, "日本語 テキスト", "ja"), (6, "𝔘𝔫 b", "en")]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, lang string, n_words int")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.judge(docs).collect())
+    assert got == sorted((i or 0, *base(t)) for i, t, _ in rows)
+    assert quality.judge(docs.where("false")).collect() == []
+
+
+def test_distance(spark):
+    row = spark.range(1).select(*[quality.distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)), F.lit(sum(p)), F.lit(sum(q))).alias(k) for k, p, q in (("same", (1.0, 3.0), (2.0, 6.0)), ("apart", (1.0, 0.0), (0.0, 5.0)), ("none", (0.0, 0.0), (1.0, 1.0)))]).first()
+    assert row["same"] == pytest.approx(0) and row["apart"] == pytest.approx(1) and row["none"] is None
+
+
+def test_registered(spark, sf):
+    for name in ("op2_mixing", "op4_pii", "op5_url_filter", "op10_quality"):
+        df = queries.queries()[name](spark, sf)
+        assert not re.search("Python|Arrow|Pandas", plan_of(df)), name
+        assert df.count() > 0
