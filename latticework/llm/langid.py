@@ -27,9 +27,9 @@ UNKNOWN = "und"
 #: Hashed features, largest n-gram, centroids per language, labelled rows per language.
 FEATURES, GRAMS, CENTROIDS, PER_LANG = 4096, 4, 4, 300
 #: What a text may be further from its centroid than all that the centroid was fitted on.
-MARGIN = 0.05
+MARGIN = 0.1
 #: Bytes below which no text is rejected for its distance: too few n-grams to tell.
-LEAST_BYTES = 40
+LEAST_BYTES = 200
 #: Letters of one text that are counted at a time.
 BLOCK = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
