@@ -2,46 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.storage import BROADCAST_ROWS, cut, shared_dir, small
+
+__all__ = ["BROADCAST_ROWS", "WORD", "ascii_lower", "cut", "shared_dir", "small", "table"]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows up to which a side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 50_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="latticework-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    This ends the lineage: a lost executor costs the tasks that read the table,
-    never what made it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/latticework/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
 
 
 def ascii_lower(c: Column | str) -> Column:
