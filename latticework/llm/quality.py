@@ -37,14 +37,17 @@ def _repeated(docs: DataFrame) -> DataFrame:
     place covers as many new words as lie between it and the next one.
     """
     n = F.size("_words")
-    each = F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.struct(F.xxhash64(F.slice("_words", i, WINDOW)).alias("h"), i.alias("i")))
-    docs = docs.withColumn("_windows", F.when(n >= WINDOW, F.sort_array(each)))
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)]))
+    docs = docs.withColumn("_hashes", F.when(n > WINDOW, hashes))
+    # most texts have no window twice: only the others are sorted
+    some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    docs = docs.withColumn("_windows", F.when(some, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     at = lambda j: F.get("_windows", j)["h"]
     twice = F.filter(F.sequence(F.lit(0), F.size("_windows") - 1), lambda j: F.coalesce(at(j) == at(j - 1), F.lit(False)) | F.coalesce(at(j) == at(j + 1), F.lit(False)))
     docs = docs.withColumn("_twice", F.when(F.size("_windows") > 1, F.sort_array(F.transform(twice, lambda j: F.get("_windows", j)["i"]))))
     gaps = F.zip_with(F.slice("_twice", 2, F.size("_twice")), F.slice("_twice", F.lit(1), F.size("_twice") - 1), lambda b, a: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(gaps, F.lit(WINDOW), lambda s, x: s + x)
-    return docs.withColumn("n_repeat_words", F.when(F.size("_twice") > 0, covered).otherwise(0).cast("long")).drop("_windows", "_twice")
+    return docs.withColumn("n_repeat_words", F.when(F.size("_twice") > 0, covered).otherwise(0).cast("long")).drop("_hashes", "_windows", "_twice")
 
 
 def _common(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
