@@ -39,3 +39,14 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df
+
+
+#: Rows that may come to the driver for a kernel over all elements.
+COLLECTED = 5_000_000
+
+
+def collected(df: DataFrame, most: int = COLLECTED):  # noqa: ANN201
+    """``df`` as a pandas table, after its rows are counted and found to be within ``most``."""
+    if (n := df.count()) > most:
+        raise ValueError(f"{n} rows; the driver takes {most}")
+    return df.toPandas()
