@@ -250,7 +250,8 @@ def solve(operator: Callable[[DataFrame], DataFrame], rhs: DataFrame, method: st
 def logdet(edges: DataFrame, n: int, rho: float, exact_up_to: int = 200, order: int = 20, probes: int = 30, seed: int = 3401) -> float:
     """log det(I - rho W): by eigenvalues if small, else a trace series on random signs.
 
-    The probes are columns of one table, so each term is one join whatever their number.
+    The probes are columns of one table, so each term is one join whatever their
+    number; the first two traces are exact.
     """
     if n <= exact_up_to:
         t = edges.select("i", "j", "w").toPandas()
@@ -264,7 +265,13 @@ def logdet(edges: DataFrame, n: int, rho: float, exact_up_to: int = 200, order:
         moved = edges.join(v.withColumnRenamed("ord", "j"), "j").groupBy(F.col("i").alias("ord")).agg(*[F.sum(F.col("w") * F.col(f"v{p}")).alias(f"v{p}") for p in range(probes)])
         v = cut(moved, "series")
         power *= rho
-        trace = v.join(base, "ord").agg(sum((F.sum(F.col(f"v{p}") * F.col(f"z{p}")) for p in range(1, probes)), F.sum(F.col("v0") * F.col("z0")))).first()[0] or 0.0
+        if k == 1:
+            trace = probes * (edges.where("i = j").agg(F.sum("w")).first()[0] or 0.0)
+        elif k == 2:
+            back = edges.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("w").alias("b"))
+            trace = probes * (edges.join(back, ["i", "j"]).agg(F.sum(F.col("w") * F.col("b"))).first()[0] or 0.0)
+        else:
+            trace = v.join(base, "ord").agg(sum((F.sum(F.col(f"v{p}") * F.col(f"z{p}")) for p in range(1, probes)), F.sum(F.col("v0") * F.col("z0")))).first()[0] or 0.0
         total -= power / k * trace / probes
     return total
 

@@ -254,9 +254,10 @@ def spectral_null(values: DataFrame, edges: DataFrame, n: int = 999, seed: int =
         raise ValueError(f"{len(v)} elements; a dense spectrum takes {most}")
     dense = np.zeros((len(v), len(v)))
     dense[np.repeat(np.arange(len(v)), np.diff(starts)), columns] = weight
-    centre = np.eye(len(v)) - 1 / len(v)
-    vectors = np.linalg.eigh(centre @ (dense + dense.T) / 2 @ centre)[1]
-    loads = vectors.T @ (v - v.mean())
+    # a basis of what is orthogonal to the constant
+    inside = np.linalg.qr(np.column_stack([np.ones(len(v)), np.eye(len(v))[:, 1:]]))[0][:, 1:]
+    vectors = inside @ np.linalg.eigh(inside.T @ (dense + dense.T) @ inside / 2)[1]
+    loads = vectors.T @ v
     sent = values.sparkSession.sparkContext.broadcast((vectors, loads, v.mean(), new.orderBy("new").toPandas()["old"].tolist()))
 
     def run(_: int, rng: np.random.Generator) -> list[tuple]:

@@ -262,7 +262,7 @@ def quality_report(x: Dataset, edges: DataFrame | None = None, tolerance: float
     if x.faces is not None and chart:
         rows.append(("chart_folds", folds(x, chart)))
     found = spark.createDataFrame([(k, "pass" if not v else "warning", int(v)) for k, v in rows], "check string, status string, n long")
-    worst = found.agg(F.min("status")).select(F.lit("overall").alias("check"), F.when(F.col("min(status)") == "pass", "pass").otherwise("warning").alias("status"), F.lit(None).cast("long").alias("n"))
+    worst = found.agg(F.max("status").alias("status")).select(F.lit("overall").alias("check"), "status", F.lit(None).cast("long").alias("n"))
     return found.unionByName(worst)
 
 

@@ -92,7 +92,7 @@ def read_gifti(spark: SparkSession, geometry: str, data: list[str] | str | None
     arrays, _ = formats.read_gifti(raw_bytes(spark, geometry))
     at = next(a for i, a, _ in arrays if i == "NIFTI_INTENT_POINTSET")
     faces = next(a for i, a, _ in arrays if i == "NIFTI_INTENT_TRIANGLE")
-    columns = [c for p in ([data] if isinstance(data, str) else data or []) for i, a, _ in formats.read_gifti(raw_bytes(spark, p))[0] for c in (a.T if a.ndim > 1 else [a])]
+    columns = [c for p in ([data] if isinstance(data, str) else data or []) for i, a, _ in formats.read_gifti(raw_bytes(spark, p))[0] if i not in ("NIFTI_INTENT_POINTSET", "NIFTI_INTENT_TRIANGLE") for c in (a.T if a.ndim > 1 else [a])]
     if any(len(c) != len(at) for c in columns):
         raise ValueError("data and vertices differ in number")
     return surface(spark, at.tolist(), faces.tolist(), np.column_stack(columns) if columns else None, measures=measure)

@@ -11,12 +11,12 @@ from latticework.operators.support import SupportMap
 def summaries(stream: DataFrame, time: str = "ts", width: str = "1 day", late: str = "1 day", keys: tuple[str, ...] = ("layer",)) -> DataFrame:
     """n, mean, variance, min and max by window and keys; rows later than the watermark are dropped by Spark's rules."""
     v = F.col("value")
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
 def aggregated(stream: DataFrame, m: SupportMap, behaviour: str, time: str = "ts", width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Window and target: values (ord, time, value) through a static support map, by their meaning."""
-    met = stream.withWatermark(time, late).join(m.weights.join(m.support, "source_ord").withColumnRenamed("source_ord", "ord"), "ord")
+    met = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).join(m.weights.join(m.support, "source_ord").withColumnRenamed("source_ord", "ord"), "ord")
     grouped = met.groupBy(F.window(time, width), "target_ord")
     if behaviour in ("extensive", "count"):
         return grouped.agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
