@@ -8,7 +8,8 @@ largest cosine is predicted. A text further from that centroid than anything it
 was fitted on, by a margin, is rejected.
 
 The model is fitted on a bounded sample: ``per_lang`` labelled rows of each
-language, those with the smallest hash of doc_id. Its size does not depend on
+language, those with the smallest hash of doc_id
+(of the share of rows, known from the counts, that holds some four times as many). Its size does not depend on
 the input's.
 """
 
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, small
+
 UNKNOWN = "und"
 #: Hashed features, largest n-gram, centroids per language, labelled rows per language.
 FEATURES, GRAMS, CENTROIDS, PER_LANG = 4096, 4, 4, 300
@@ -100,8 +103,13 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROID
     Rows with a null text or lang are passed over. Only hashed counts of the
     sample come to the driver.
     """
+    # a share by hash, known from the counts, leaves a few times the sample to rank
+    counted = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("_rows")).withColumnRenamed("lang", "_lang")
+    counted = cut(counted, "languages")
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = labelled.where("text is not null").join(small(counted, counted.count()), F.col("lang") == F.col("_lang")).where(drawn * F.col("_rows") <= F.lit(4 * per_lang << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = labelled.where("text is not null and lang is not null").select("lang", "doc_id", "text").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
+    sample = near.select("lang", "doc_id", "text").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
 
     def featurise(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
