@@ -69,6 +69,19 @@ def vertex_area(x: Dataset, coordinates: str = "active") -> DataFrame:
     return x.elements.select("ord").join(thirds.groupBy("ord").agg(F.sum("area").alias("area")), "ord", "left").fillna(0.0, ["area"])
 
 
+def cotangent(x: Dataset, coordinates: str = "active") -> DataFrame:
+    """(i, j, w_raw) both ways: half the cotangents of the angles opposite an edge, for Laplacians of a surface."""
+    t = triangles(x, coordinates)
+    each = None
+    for o, (p, q), (vp, vq) in (("a", "bc", ("v2", "v3")), ("b", "ca", ("v3", "v1")), ("c", "ab", ("v1", "v2"))):
+        u, v = ([F.col(e + c) - F.col(o + c) for c in "xyz"] for e in (p, q))
+        dot = u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+        row = t.select(F.col(vp).alias("i"), F.col(vq).alias("j"), (0.5 * F.try_divide(dot, 2 * F.col("area"))).alias("w_raw"))
+        each = row if each is None else each.unionByName(row)
+    both = each.unionByName(each.select(F.col("j").alias("i"), F.col("i").alias("j"), "w_raw"))
+    return both.groupBy("i", "j").agg(F.sum("w_raw").alias("w_raw"))
+
+
 def voxel_volume(x: Dataset) -> float:
     import numpy as np
 

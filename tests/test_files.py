@@ -213,3 +213,13 @@ def test_streams(spark, tmp_path):
         assert spark.sql("select sum(value) from sums").first()[0] == pytest.approx(e.agg({"value": "sum"}).first()[0])
     finally:
         q.stop()
+
+
+def test_examples(spark):
+    from latticework.sources import examples
+
+    for name, h in examples.manifest().items():
+        x = examples.load(spark, name, h)
+        assert x.values.count() == x.elements.count()
+    with pytest.raises(ValueError):
+        examples.load(spark, "voxels", "0")

@@ -101,3 +101,10 @@ def test_report(spark):
     x = surface(spark, TETRA, FACES, [[1, 1], [1, 2], [1, float("nan")], [1, 4]])
     found = {r["check"]: (r["status"], r["n"]) for r in topology.quality_report(x, topology.adjacency(x)).collect()}
     assert found["constant_layers"] == ("warning", 1) and found["nonfinite_values"][1] == 1 and found["isolates"] == ("pass", 0) and found["overall"][0] == "warning"
+
+
+def test_cotangent(spark):
+    x = surface(spark, TETRA, FACES)
+    # every angle is 60 degrees and every edge has two triangles
+    w = [r["w_raw"] for r in topology.cotangent(x).collect()]
+    assert len(w) == 12 and w == pytest.approx([1 / 3**0.5] * 12)
