@@ -92,9 +92,9 @@ def walk(near: list[np.ndarray], counts: np.ndarray, enough: int) -> list[int]:
 
 
 def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosine of one query and rows, every sum in the order of the components."""
-    top = np.add.reduce(np.ascontiguousarray(x * q), axis=1)
-    return top / np.sqrt(np.add.reduce(q * q)) / np.sqrt(np.add.reduce(np.ascontiguousarray(x * x), axis=1))
+    """Cosine of one query and rows, every sum taken in the order of the components."""
+    total = lambda v: np.cumsum(v, axis=-1)[..., -1]
+    return total(x * q) / np.sqrt(total(q * q)) / np.sqrt(total(x * x))
 
 
 def usable(rows: DataFrame, vector: str = "embedding", ident: str = "vec_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.storage import BROADCAST_ROWS, cut, shared_dir, small
 
-__all__ = ["BROADCAST_ROWS", "WORD", "ascii_lower", "cut", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "UPPER", "WORD", "ascii_lower", "cut", "shared_dir", "small", "table"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
