@@ -50,3 +50,9 @@ def collected(df: DataFrame, most: int = COLLECTED):  # noqa: ANN201
     if (n := df.count()) > most:
         raise ValueError(f"{n} rows; the driver takes {most}")
     return df.toPandas()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables that ``cut`` has written in the shared folder, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/latticework")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
