@@ -36,13 +36,17 @@ from .fingerprints import split_all, windows, word_hashes
 from .substring_dedup import slices
 
 #: Words of a shingle, retained hashes, least similarity in hundredths.
-SHINGLE, RETAINED, SIMILARITY = 5, 64, 75
-#: Retained values that linked sets larger than the sketch share, at least.
-SHARED = 28
+SHINGLE, RETAINED, SIMILARITY = 5, 128, 75
+#: Retained values that enter lists, and how many of them linked sets share, at least.
+LISTED, SHARED = 64, 28
+#: Standard deviations that an estimate may lie below the similarity.
+SLACK = 5
 #: Members of a list in a block; ids that are broadcast.
-BLOCK, BROADCAST_IDS = 512, 1_000_000
-#: Pairs of a class with one other component that come up in each further round.
-ROUNDS = (1, 4, 32, None)
+BLOCK, BROADCAST_IDS = 1024, 1_000_000
+#: Pairs of a class with other components that come up in each further round.
+ROUNDS = (4, None)
+#: Links up to which one task finds the components, without any shuffle.
+ONE_TASK = 200_000
 
 
 def sets(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -83,15 +87,21 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, retained: int = RETAINED
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, sketch array<long>")
 
 
-def inverted_lists(classes: DataFrame, retained: int = RETAINED) -> DataFrame:
-    """(value, id, n, hub): the lists that classes (id, n, sketch) enter; hub is the least member."""
-    values = classes.select("id", "n", F.explode("sketch").alias("value"))
+def inverted_lists(classes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(value, holders, id, hub): the lists that classes (id, text_hash, n) enter; hub is the least holder."""
+    values = _sketched(classes, sketches).select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("holders"), F.min("id").alias("hub")).where("holders > 1")
     by_class = Window.partitionBy("id")
-    size = F.least("n", F.lit(retained))
+    size = F.least("n", F.lit(LISTED))
     entered = size - least_shared(F.col("n")) + 1 - (size - F.count("*").over(by_class))
     listed = values.join(common, "value").withColumn("entered", entered).withColumn("place", F.row_number().over(by_class.orderBy("holders", "value")))
-    return listed.where("place <= entered").select("value", "id", "n", "hub")
+    return listed.where("place <= entered").select("value", "holders", "id", "hub")
+
+
+def _sketched(classes: DataFrame, sketches: DataFrame, rows: int | None = None) -> DataFrame:
+    """Classes with their sketches; few classes go to the sketches, not the other way round."""
+    own = sketches.select(F.col("doc_id").alias("id"), "text_hash", "sketch")
+    return own.join(small(classes, classes.count() if rows is None else rows, BROADCAST_IDS), ["id", "text_hash"])
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -99,9 +109,25 @@ def _alike(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, retained: int = RETAINED) -> DataFrame:
-    """Those of pairs (a, b) whose union's sketch shares enough values."""
-    own = classes.select("id", "n", "sketch")
+def likely(shared: np.ndarray, union: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether shared values out of a union's sketch of a given size speak for a link; exact where the sketch is the whole union."""
+    least = SIMILARITY / 100
+    bound = np.where(whole, least * union, (least - SLACK * np.sqrt(least * (1 - least) / np.maximum(union, 1))) * union)
+    return shared >= bound - 1e-9
+
+
+def _tops(sketches: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Up to which hash each sketch has all values of its set."""
+    full = np.iinfo(np.uint64).max
+    return np.array([full if len(s) >= size else s[-1] for s, size in zip(sketches, n, strict=True)], dtype=np.uint64)
+
+
+def estimated(pairs: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose union's sketch speaks for a link."""
+    pairs = cut(pairs, "candidates")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    n = ids.count()
+    own = cut(_sketched(classes.join(small(ids, n, BROADCAST_IDS), "id"), sketches, n), "sketches")
     both = pairs
     for side in ("a", "b"):
         both = both.join(own.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
@@ -109,15 +135,15 @@ def estimated(pairs: DataFrame, classes: DataFrame, retained: int = RETAINED) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b, s_a, s_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "s_a", "s_b"))
-            keep = []
-            for na, nb, a, b in zip(n_a, n_b, s_a, s_b, strict=True):
+            keep = np.zeros(len(n_a), dtype=bool)
+            for k, (na, nb, a, b) in enumerate(zip(n_a, n_b, s_a, s_b, strict=True)):
                 # sketches are in the order of unsigned hashes
-                union, count = np.unique(np.concatenate([a, b]).view(np.uint64), return_counts=True)
-                least = min(-(-max(na, nb) * SIMILARITY // 100), SHARED)
-                whole = na <= retained and nb <= retained
-                shared = np.count_nonzero(count == 2) if whole else np.count_nonzero(count[:retained] == 2)
-                keep.append(shared >= least)
-            out = batch.filter(pa.array(keep, pa.bool_()))
+                a, b = a.view(np.uint64), b.view(np.uint64)
+                top = _tops([a, b], np.array([na, nb])).min()
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                union = np.searchsorted(a, top, "right") + np.searchsorted(b, top, "right") - shared
+                keep[k] = likely(shared, union, top == np.iinfo(np.uint64).max)
+            out = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
     return both.where(_alike(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
@@ -159,8 +185,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Large and small stars in turn: all larger neighbours, then all smaller ones,
     are linked to the least, until nothing changes. Links stay as many as ids.
+    Few links, as counted, are followed in one task.
     """
     edges, before = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"), None
+    if edges.count() <= ONE_TASK:
+        return cut(edges.coalesce(1).mapInPandas(_roots, "id long, component long"), "components")
     while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
@@ -174,67 +203,159 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(stars.distinct(), "links")
 
 
-def across(lists: DataFrame, classes: DataFrame, found: DataFrame, tested: DataFrame, take: int | None) -> DataFrame | None:
-    """Untested pairs (a, b) of members of one list and different components, most alike first; None if no list has such members."""
-    placed = lists.select("value", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _roots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, component) of the links (u, v) of one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for part in parts:
+        for u, v in zip(part["u"].tolist(), part["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    found = [(x, find(x)) for x in [*root]]
+    yield pd.DataFrame([r for r in found if r[0] != r[1]], columns=["id", "component"])
+
+
+def across(lists: DataFrame, classes: DataFrame, sketches: DataFrame, found: DataFrame, tested: DataFrame, take: int | None) -> DataFrame | None:
+    """Untested likely pairs (a, b) of members of one list and different components; None if no list has such members.
+
+    A pair comes up from the side of the smaller component, at most ``take``
+    for each class, the most alike first. Members that have no such pair in a
+    list are left out of it before the sketches are sent.
+    """
+    placed = lists.select("value", "holders", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mark = F.xxhash64("id")
-    per_list = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"))
-    # lists with the same members need one look
-    open_ = cut(per_list.where("low <> high").groupBy("members", "sum", "xor").agg(F.min("value").alias("value")), "open")
+    per_list = placed.groupBy("value").agg(F.first("holders").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"))
+    # lists with the same members need one look: the first in the order of rarity
+    open_ = per_list.where("low <> high").groupBy("members", "sum", "xor").agg(F.min(F.struct("holders", "value")).alias("first"))
+    open_ = cut(open_.select("first.value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "open")
     n = open_.count()
     if not n:
         return None
-    seen = tested.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("seen"))
-    rows = placed.join(small(open_.select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), n), "value")
-    rows = rows.join(classes.select("id", "n", "sketch"), "id").join(seen, "id", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # block x meets block y once, x <= y
-    held = cut(rows.groupBy("value", "block", "blocks").agg(F.collect_list(F.struct("id", "component", "n", "sketch", F.coalesce("seen", F.array().cast("array<long>")).alias("seen"))).alias("rows")), "blocks")
-    left = held.select("value", F.col("block").alias("x"), F.col("rows").alias("first"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
-    met = left.join(held.select("value", F.col("block").alias("y"), F.col("rows").alias("second")), ["value", "y"])
+    sizes = found.groupBy("component").agg((F.count("*") + 1).alias("size"))
+    rows = cut(placed.join(small(open_, n), "value").join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))), "members")
+    ids = cut(rows.select("id").distinct(), "ids")
+    n = ids.count()
+    near = small(ids, n, BROADCAST_IDS)
+    seen = tested.select("a", F.col("b").alias("id")).join(near, "id").groupBy("id").agg(F.collect_set("a").alias("seen"))
+    order = lists.join(near, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("holders", "value"))).alias("e")).select("id", F.col("e.value").alias("entered"))
+    plain = cut(classes.join(near, "id").select("id", "text_hash", "n").join(order, "id").join(seen, "id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<long>"))), "facts")
+    first = _met(rows.join(plain.drop("text_hash"), "id"), ["id", "component", "size", "n", "entered", "seen"])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def open_members(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for value, x, y, left, right in zip(part["value"], part["x"], part["y"], part["first"], part["second"], strict=True):
+                ids, table = _open(int(value), [*left], [*right], x == y)
+                used = np.concatenate([ids[0][table.any(1)], ids[1][table.any(0)]])
+                yield pd.DataFrame({"value": np.int64(value), "id": np.unique(used).astype(np.int64)})
+
+    used = cut(first.mapInPandas(open_members, "value long, id long").distinct(), "used")
+    # for estimates the upper halves of the hashes do
+    halves = F.transform("sketch", lambda h: F.shiftright(h, 32).cast("int"))
+    facts = cut(_sketched(plain, sketches, n).withColumn("sketch", halves).drop("text_hash"), "sketched")
+    second = _met(rows.join(used, ["value", "id"]).join(facts, "id"), ["id", "component", "size", "n", "entered", "seen", "sketch"])
+
+    def likely_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for x, y, first, second in zip(part["x"], part["y"], part["first"], part["second"], strict=True):
-                yield pd.DataFrame(_pairs([*first], [*second], x == y, take), columns=["a", "b", "o"])
+            for value, x, y, left, right in zip(part["value"], part["x"], part["y"], part["first"], part["second"], strict=True):
+                yield pd.DataFrame(_pairs(int(value), [*left], [*right], x == y, take), columns=["id", "a", "b", "share"])
 
-    pairs = met.select("x", "y", "first", "second").mapInPandas(run, "a long, b long, o int")
+    pairs = second.mapInPandas(likely_pairs, "id long, a long, b long, share double")
+    if take:
+        best = Window.partitionBy("id").orderBy(F.desc("share"), "a", "b")
+        pairs = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= take)
     return pairs.select("a", "b").distinct()
 
 
-def _pairs(first: list[dict], second: list[dict], same: bool, take: int | None) -> list[tuple[int, int, int]]:
-    both = [*first, *second]
-    values, codes = np.unique(np.concatenate([r["sketch"] for r in both]), return_inverse=True)
-    row = np.repeat(np.arange(len(both)), [len(r["sketch"]) for r in both])
-    used = np.bincount(codes) > (2 if same else 1)
-    code = np.cumsum(used) - 1
-    held = np.zeros((len(both), max(1, int(used.sum()))), dtype=np.float32)
+def _met(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(value, x, y, first, second): the members of every list in blocks, block x meeting block y once, x <= y."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    held = cut(rows.groupBy("value", "block", "blocks").agg(F.collect_list(F.struct(*columns)).alias("rows")), "blocks")
+    left = held.select("value", F.col("block").alias("x"), F.col("rows").alias("first"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    return left.join(held.select("value", F.col("block").alias("y"), F.col("rows").alias("second")), ["value", "y"]).select("value", "x", "y", "first", "second")
+
+
+def _incidence(arrays: list[np.ndarray], both: int) -> np.ndarray:
+    """Which array has which of the values that more than one has."""
+    values, codes = np.unique(np.concatenate(arrays), return_inverse=True) if arrays else (np.zeros(0), np.zeros(0, int))
+    used = np.bincount(codes, minlength=len(values)) > both
+    row, code = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]), np.cumsum(used) - 1
+    out = np.zeros((len(arrays), max(1, int(used.sum()))), dtype=np.float32)
     ok = used[codes]
-    held[row[ok], code[codes[ok]]] = 1
+    out[row[ok], code[codes[ok]]] = 1
+    return out
+
+
+def _open(value: int, first: list[dict], second: list[dict], same: bool) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Ids of both blocks, and which pairs are of different components, of sizes that allow a link, and not tested yet.
+
+    A pair counts in one list alone, that of the first value in the order of
+    rarity that both have entered; and once, from the smaller component, or
+    from the larger id between equals.
+    """
+    both = first if same else [*first, *second]
     k = len(first)
-    shared = (held[:k] @ held[k:].T).astype(np.int32)
+    left, right = slice(0, k), slice(0, k) if same else slice(k, None)
+    before = []
+    for r in both:
+        entered = np.asarray(r["entered"], dtype=np.int64)
+        before.append(entered[: int(np.flatnonzero(entered == value)[0])])
+    earlier = _incidence(before, 1)
     n, comp, ids = (np.array([r[c] for r in both], dtype=np.int64) for c in ("n", "component", "id"))
-    low, high = np.minimum(n[:k, None], n[None, k:]), np.maximum(n[:k, None], n[None, k:])
-    need = np.minimum(-(-high * SIMILARITY // 100), SHARED)
-    open_ = (shared >= need) & (100 * low >= SIMILARITY * high) & (comp[:k, None] != comp[None, k:])
-    place = {int(i): j for j, i in enumerate(ids[k:])}
-    for i, r in enumerate(both):
-        for s in r["seen"]:
-            # a pair is noted at its larger id
-            if i < k and int(s) in place:
-                open_[i, place[int(s)]] = False
-    place = {int(i): j for j, i in enumerate(ids[:k])}
-    for j, r in enumerate(second):
-        for s in r["seen"]:
-            if int(s) in place:
-                open_[place[int(s)], j] = False
+    low, high = np.minimum(n[left, None], n[None, right]), np.maximum(n[left, None], n[None, right])
+    table = (earlier[left] @ earlier[right].T == 0) & (100 * low >= SIMILARITY * high) & (comp[left, None] != comp[None, right])
+    at_left, at_right = ({int(i): j for j, i in enumerate(ids[side])} for side in (left, right))
+    for r in both:
+        # a pair is noted at its larger id
+        i = int(r["id"])
+        for s in map(int, r["seen"]):
+            if i in at_left and s in at_right:
+                table[at_left[i], at_right[s]] = False
+            if i in at_right and s in at_left:
+                table[at_left[s], at_right[i]] = False
+    return (ids[left], ids[right]), table
+
+
+def _pairs(value: int, first: list[dict], second: list[dict], same: bool, take: int | None) -> list[tuple[int, int, int, float]]:
+    """(member, a, b, share) of the likely open pairs of two blocks of the list of ``value``."""
+    (own_left, own_right), table = _open(value, first, second, same)
+    if not table.any():
+        return []
+    both = first if same else [*first, *second]
+    k = len(first)
+    left, right = slice(0, k), slice(0, k) if same else slice(k, None)
+    sketches = [np.asarray(r["sketch"], dtype=np.int32).view(np.uint32).astype(np.uint64) for r in both]
+    n, weight = (np.array([r[c] for r in both], dtype=np.int64) for c in ("n", "size"))
+    held, tops = _incidence(sketches, 1), _tops(sketches, n)
+    shared = held[left] @ held[right].T
+    full = np.iinfo(np.uint64).max
+    size = np.array([len(s) for s in sketches])
+
+    def upto(rows: slice, limits: slice) -> np.ndarray:
+        """How many values of each row lie within each limit."""
+        return np.stack([np.searchsorted(s, tops[limits], side="right") for s in sketches[rows]])
+
+    top = np.minimum(tops[left, None], tops[None, right])
+    in_left = np.where(tops[left, None] <= tops[None, right], size[left, None], upto(left, right))
+    in_right = np.where(tops[None, right] <= tops[left, None], size[None, right], upto(right, left).T)
+    union = in_left + in_right - shared
+    table &= likely(shared, union, top == full)
+    share = np.where(table, shared / np.maximum(union, 1), -1.0)
+    mine = weight[left, None] < weight[None, right]
+    mine |= (weight[left, None] == weight[None, right]) & (own_left[:, None] > own_right[None])
     out = []
-    for i in np.flatnonzero(open_.any(1)):
-        at = np.flatnonzero(open_[i])
-        if take:
-            at = at[np.lexsort((ids[k:][at], -shared[i, at], comp[k:][at]))]
-            new = np.flatnonzero(np.append(True, comp[k:][at][1:] != comp[k:][at][:-1]))
-            at = at[np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at)))) < take]
-        out += [(int(min(ids[i], ids[k + j])), int(max(ids[i], ids[k + j])), int(shared[i, j])) for j in at]
+    for own, other, part in ((own_left, own_right, np.where(mine, share, -1.0)), (own_right, own_left, np.where(mine, -1.0, share).T)):
+        for i in np.flatnonzero((part >= 0).any(1)):
+            at = np.flatnonzero(part[i] >= 0)
+            if take and len(at) > take:
+                at = at[np.lexsort((other[at], -part[i, at]))[:take]]
+            out += [(int(own[i]), int(min(own[i], other[j])), int(max(own[i], other[j])), float(part[i, j])) for j in at]
+        if same:
+            break
     return out
 
 
@@ -251,21 +372,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, retained: int = RET
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = cut(signatures(docs, shingle, retained), "signatures")
     alike = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash")
-    classes = alike.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.select(F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("text_hash"), "set_hash", "n", "sketch"), "classes")
-    lists = cut(inverted_lists(classes, retained), "lists")
+    classes = alike.agg(F.min(F.struct("doc_id", "text_hash", "n_shingles")).alias("rep"))
+    classes = cut(classes.select(F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("text_hash"), F.col("rep.n_shingles").alias("n"), "set_hash"), "classes")
+    nodes, sketches = classes.drop("set_hash"), signed.select("doc_id", "text_hash", "sketch")
+    if sketches.groupBy("doc_id", "text_hash").count().where("count > 1").take(1):
+        sketches = cut(sketches.dropDuplicates(["doc_id", "text_hash"]), "unrepeated")
+    lists = cut(inverted_lists(nodes, sketches), "lists")
     tested = cut(lists.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hubs")
-    links = cut(confirmed(estimated(tested, classes, retained), docs, classes, shingle), "confirmed")
+    links = cut(confirmed(estimated(tested, nodes, sketches), docs, nodes, shingle), "confirmed")
     found = components(links)
     for take in ROUNDS:
-        pairs = across(lists, classes, found, tested, take)
+        pairs = across(lists, nodes, sketches, found, tested, take)
         if pairs is None:
             break
         pairs = cut(pairs, "across")
         if not pairs.take(1):
             break
         tested = tested.unionByName(pairs)
-        more = cut(confirmed(estimated(pairs, classes, retained), docs, classes, shingle), "confirmed")
+        more = cut(confirmed(pairs, docs, nodes, shingle), "confirmed")
         if more.take(1):
             links = links.unionByName(more)
             found = components(links)

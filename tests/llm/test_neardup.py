@@ -21,9 +21,11 @@ def test_equals_brute_force(spark, sf):
     assert run(docs) == expected(docs)
 
 
-def test_chains_of_edits(spark, monkeypatch):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_chains_of_edits(spark, monkeypatch, one_task):
     """Groups whose members are linked to some of the others only, over several blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "ONE_TASK", one_task)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(500)]
     rows = []
