@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import langid, mixing, neardup, packing, pii
-from latticework.llm.common import cut, table
+from latticework.llm.common import cut, small, table
 
 #: No stage but the mix is expressible in SQL: a fitted model, a hash sketch and a tokenizer decide.
 ORACLE_SQL = None
@@ -31,11 +31,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that repeat a doc_id one stays.
     """
-    kept = neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.min("text_hash").alias("_hash"))
-    kept = kept.select(F.col("doc_id").alias("_id"), "_hash")
-    held = docs.join(kept, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select(docs["*"])
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    return held.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").unionByName(docs.where("doc_id is null"))
+    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null")
+    kept = cut(kept.groupBy("doc_id").agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_id"), "kept")
+    n, most = kept.agg(F.count("*"), F.max("_rows")).first()
+    few = small(kept.drop("_rows"), n, neardup.BROADCAST_IDS)
+    held = docs.join(few, (F.col("doc_id") == F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))).select(docs["*"])
+    if (most or 0) > 1:
+        order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
+        held = held.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return held.unionByName(docs.where("doc_id is null"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
