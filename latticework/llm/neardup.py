@@ -36,13 +36,13 @@ from .fingerprints import split_all, windows, word_hashes
 from .substring_dedup import slices
 
 #: Words of a shingle, retained hashes, least similarity in hundredths.
-SHINGLE, RETAINED, SIMILARITY = 5, 128, 75
+SHINGLE, RETAINED, SIMILARITY = 5, 256, 75
 #: Retained values that enter lists, and how many of them linked sets share, at least.
 LISTED, SHARED = 64, 28
 #: Standard deviations that an estimate may lie below the similarity.
 SLACK = 5
 #: Members of a list in a block; ids that are broadcast.
-BLOCK, BROADCAST_IDS = 1024, 1_000_000
+BLOCK, BROADCAST_IDS = 1024, 500_000
 #: Pairs of a class with other components that come up in each further round.
 ROUNDS = (4, None)
 #: Links up to which one task finds the components, without any shuffle.
@@ -109,11 +109,17 @@ def _alike(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def likely(shared: np.ndarray, union: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Whether shared values out of a union's sketch of a given size speak for a link; exact where the sketch is the whole union."""
+def likely(shared: np.ndarray, union: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether shared values out of a union's sketch of a given size speak for a link.
+
+    The sketch is a draw without replacement from a union that has, at the
+    similarity asked for, ``sizes / (1 + similarity)`` values, sizes being those
+    of both sets together; a draw of all of it leaves no slack.
+    """
     least = SIMILARITY / 100
-    bound = np.where(whole, least * union, (least - SLACK * np.sqrt(least * (1 - least) / np.maximum(union, 1))) * union)
-    return shared >= bound - 1e-9
+    left = np.maximum(0.0, 1 - union * (1 + least) / np.maximum(sizes, 1))
+    slack = SLACK * np.sqrt(least * (1 - least) / np.maximum(union, 1) * left)
+    return shared >= (least - slack) * union - 1e-9
 
 
 def _tops(sketches: list[np.ndarray], n: np.ndarray) -> np.ndarray:
@@ -142,9 +148,8 @@ def estimated(pairs: DataFrame, classes: DataFrame, sketches: DataFrame) -> Data
                 top = _tops([a, b], np.array([na, nb])).min()
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 union = np.searchsorted(a, top, "right") + np.searchsorted(b, top, "right") - shared
-                keep[k] = likely(shared, union, top == np.iinfo(np.uint64).max)
-            out = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+                keep[k] = likely(shared, union, na + nb)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.where(_alike(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
@@ -174,8 +179,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
                     got.append(last[side][1])
                 shared = len(np.intersect1d(*got, assume_unique=True))
                 keep.append(100 * shared >= SIMILARITY * (len(got[0]) + len(got[1]) - shared))
-            out = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
@@ -246,25 +250,24 @@ def across(lists: DataFrame, classes: DataFrame, sketches: DataFrame, found: Dat
     plain = cut(classes.join(near, "id").select("id", "text_hash", "n").join(order, "id").join(seen, "id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<long>"))), "facts")
     first = _met(rows.join(plain.drop("text_hash"), "id"), ["id", "component", "size", "n", "entered", "seen"])
 
-    def open_members(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for value, x, y, left, right in zip(part["value"], part["x"], part["y"], part["first"], part["second"], strict=True):
-                ids, table = _open(int(value), [*left], [*right], x == y)
-                used = np.concatenate([ids[0][table.any(1)], ids[1][table.any(0)]])
-                yield pd.DataFrame({"value": np.int64(value), "id": np.unique(used).astype(np.int64)})
+    def open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, same, left, right in _blocks(batches):
+            ids, table = _open(value, left, right, same)
+            used = np.unique(np.concatenate([ids[0][table.any(1)], ids[1][table.any(0)]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), value)), pa.array(used)], names=["value", "id"])
 
-    used = cut(first.mapInPandas(open_members, "value long, id long").distinct(), "used")
+    used = cut(first.mapInArrow(open_members, "value long, id long").distinct(), "used")
     # for estimates the upper halves of the hashes do
     halves = F.transform("sketch", lambda h: F.shiftright(h, 32).cast("int"))
     facts = cut(_sketched(plain, sketches, n).withColumn("sketch", halves).drop("text_hash"), "sketched")
     second = _met(rows.join(used, ["value", "id"]).join(facts, "id"), ["id", "component", "size", "n", "entered", "seen", "sketch"])
 
-    def likely_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for value, x, y, left, right in zip(part["value"], part["x"], part["y"], part["first"], part["second"], strict=True):
-                yield pd.DataFrame(_pairs(int(value), [*left], [*right], x == y, take), columns=["id", "a", "b", "share"])
+    def likely_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, same, left, right in _blocks(batches):
+            columns = [*zip(*_pairs(value, left, right, same, take), strict=True)] or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 3, pa.float64()], strict=True)], names=["id", "a", "b", "share"])
 
-    pairs = second.mapInPandas(likely_pairs, "id long, a long, b long, share double")
+    pairs = second.mapInArrow(likely_pairs, "id long, a long, b long, share double")
     if take:
         best = Window.partitionBy("id").orderBy(F.desc("share"), "a", "b")
         pairs = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= take)
@@ -279,6 +282,31 @@ def _met(rows: DataFrame, columns: list[str]) -> DataFrame:
     return left.join(held.select("value", F.col("block").alias("y"), F.col("rows").alias("second")), ["value", "y"]).select("value", "x", "y", "first", "second")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, dict, dict]]:
+    """(value, whether a block meets itself, first, second): the members' fields as columns, arrays as lists of arrays."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sides = []
+            for side in ("first", "second"):
+                members = batch.column(side)[k].values
+                fields = {}
+                for name in (f.name for f in members.type):
+                    own = members.field(name)
+                    if pa.types.is_list(own.type):
+                        flat, cuts = own.values.to_numpy(zero_copy_only=False), own.offsets.to_numpy()
+                        fields[name] = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                    else:
+                        fields[name] = own.to_numpy(zero_copy_only=False).astype(np.int64)
+                sides.append(fields)
+            yield batch.column("value")[k].as_py(), batch.column("x")[k].as_py() == batch.column("y")[k].as_py(), *sides
+
+
+def _both(first: dict, second: dict, name: str, same: bool) -> list | np.ndarray:
+    if same:
+        return first[name]
+    return [*first[name], *second[name]] if isinstance(first[name], list) else np.concatenate([first[name], second[name]])
+
+
 def _incidence(arrays: list[np.ndarray], both: int) -> np.ndarray:
     """Which array has which of the values that more than one has."""
     values, codes = np.unique(np.concatenate(arrays), return_inverse=True) if arrays else (np.zeros(0), np.zeros(0, int))
@@ -290,29 +318,24 @@ def _incidence(arrays: list[np.ndarray], both: int) -> np.ndarray:
     return out
 
 
-def _open(value: int, first: list[dict], second: list[dict], same: bool) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+def _open(value: int, first: dict, second: dict, same: bool) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Ids of both blocks, and which pairs are of different components, of sizes that allow a link, and not tested yet.
 
     A pair counts in one list alone, that of the first value in the order of
     rarity that both have entered; and once, from the smaller component, or
     from the larger id between equals.
     """
-    both = first if same else [*first, *second]
-    k = len(first)
+    k = len(first["id"])
     left, right = slice(0, k), slice(0, k) if same else slice(k, None)
-    before = []
-    for r in both:
-        entered = np.asarray(r["entered"], dtype=np.int64)
-        before.append(entered[: int(np.flatnonzero(entered == value)[0])])
+    before = [e[: int(np.flatnonzero(e == value)[0])] for e in _both(first, second, "entered", same)]
     earlier = _incidence(before, 1)
-    n, comp, ids = (np.array([r[c] for r in both], dtype=np.int64) for c in ("n", "component", "id"))
+    n, comp, ids = (_both(first, second, c, same) for c in ("n", "component", "id"))
     low, high = np.minimum(n[left, None], n[None, right]), np.maximum(n[left, None], n[None, right])
     table = (earlier[left] @ earlier[right].T == 0) & (100 * low >= SIMILARITY * high) & (comp[left, None] != comp[None, right])
     at_left, at_right = ({int(i): j for j, i in enumerate(ids[side])} for side in (left, right))
-    for r in both:
+    for i, seen in zip(ids.tolist(), _both(first, second, "seen", same), strict=True):
         # a pair is noted at its larger id
-        i = int(r["id"])
-        for s in map(int, r["seen"]):
+        for s in seen.tolist():
             if i in at_left and s in at_right:
                 table[at_left[i], at_right[s]] = False
             if i in at_right and s in at_left:
@@ -320,19 +343,17 @@ def _open(value: int, first: list[dict], second: list[dict], same: bool) -> tupl
     return (ids[left], ids[right]), table
 
 
-def _pairs(value: int, first: list[dict], second: list[dict], same: bool, take: int | None) -> list[tuple[int, int, int, float]]:
+def _pairs(value: int, first: dict, second: dict, same: bool, take: int | None) -> list[tuple[int, int, int, float]]:
     """(member, a, b, share) of the likely open pairs of two blocks of the list of ``value``."""
     (own_left, own_right), table = _open(value, first, second, same)
     if not table.any():
         return []
-    both = first if same else [*first, *second]
-    k = len(first)
+    k = len(first["id"])
     left, right = slice(0, k), slice(0, k) if same else slice(k, None)
-    sketches = [np.asarray(r["sketch"], dtype=np.int32).view(np.uint32).astype(np.uint64) for r in both]
-    n, weight = (np.array([r[c] for r in both], dtype=np.int64) for c in ("n", "size"))
+    sketches = [np.asarray(s, dtype=np.int32).view(np.uint32).astype(np.uint64) for s in _both(first, second, "sketch", same)]
+    n, weight = (_both(first, second, c, same) for c in ("n", "size"))
     held, tops = _incidence(sketches, 1), _tops(sketches, n)
     shared = held[left] @ held[right].T
-    full = np.iinfo(np.uint64).max
     size = np.array([len(s) for s in sketches])
 
     def upto(rows: slice, limits: slice) -> np.ndarray:
@@ -343,7 +364,7 @@ def _pairs(value: int, first: list[dict], second: list[dict], same: bool, take:
     in_left = np.where(tops[left, None] <= tops[None, right], size[left, None], upto(left, right))
     in_right = np.where(tops[None, right] <= tops[left, None], size[None, right], upto(right, left).T)
     union = in_left + in_right - shared
-    table &= likely(shared, union, top == full)
+    table &= likely(shared, union, n[left, None] + n[None, right])
     share = np.where(table, shared / np.maximum(union, 1), -1.0)
     mine = weight[left, None] < weight[None, right]
     mine |= (weight[left, None] == weight[None, right]) & (own_left[:, None] > own_right[None])
