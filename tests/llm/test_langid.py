@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 
 from latticework.llm import langid, queries
 
@@ -35,3 +38,24 @@ def test_counts_in_blocks(monkeypatch):
     whole = langid.counts(folded)
     monkeypatch.setattr(langid, "BLOCK", 7)
     assert (langid.counts(folded) == whole).all() and whole.sum() == sum(len(folded) - n for n in range(langid.GRAMS))
+
+
+FOREIGN = {
+    "it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Tutti gli esseri umani nascono liberi ed eguali in dignita e diritti.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+}
+
+
+@pytest.mark.parametrize("at", ["sf0.001", "sf0.1"])
+def test_rejects_foreign_words_in_latin_script(spark, at):
+    """Foreign prose and random letters, long and short, go; held-out rows stay."""
+    rnd = random.Random(5)
+    noise = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(n)) for n in (3, 80, 2000)]
+    odd = [*FOREIGN.values(), *(t[:60] for t in FOREIGN.values()), *(t * 20 for t in FOREIGN.values()), *noise]
+    docs = spark.read.parquet(f"/root/testdata/{at}/documents.parquet").select("doc_id", "text", "lang").withColumn("held", queries._held_out())
+    model = langid.fit(docs.where("not held"))
+    found = [model.predict(t) for t in odd]
+    assert all(rejected for _, _, rejected in found), [(t[:30], f) for t, f in zip(odd, found, strict=True) if not f[2]]
+    clean = [t for t in (r["text"] for r in docs.where("held").collect()) if langid.letters(t)]
+    assert np.mean([model.predict(t)[2] for t in clean]) < 0.0005
