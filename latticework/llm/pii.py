@@ -8,7 +8,9 @@ key, the type and the entity's canonical form alone, so every mention of an
 entity gets the same one (coreference) wherever it stands. Two entities that
 would get the same replacement, or a replacement that is itself an entity of the
 corpus, are found by grouping all distinct entities and derived again
-(distinctness). Only the few entities derived again are looked up; all others
+(distinctness). Later rounds lengthen names and mailboxes, so that no pool runs
+out; what still clashes in a format of fixed length gets a value of that format
+that no one has. Only the few entities derived again are looked up; all others
 are computed where they stand, so texts are never shuffled.
 """
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small
@@ -54,8 +56,8 @@ PATTERNS = (
 PATTERN = "|".join(p for _, p in PATTERNS)
 #: What every match has; texts without it are passed over.
 _HINT = rf"[0-9@]|[0-9a-f]{{32}}|(?:{_NAMES}) \p{{Lu}}"
-#: Rounds of derivation, and those in which a replacement may not be an entity of the corpus.
-ROUNDS, STRICT = 64, 16
+#: Rounds of derivation, those in which a replacement may not be an entity of the corpus, and later rounds after which names get another part.
+ROUNDS, STRICT, LENGTHEN = 64, 16, 4
 
 
 def kind(mention: Column) -> Column:
@@ -131,17 +133,20 @@ def _mod97(chars: Column) -> Column:
     return F.aggregate(F.split(chars, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97))
 
 
-def surrogate(type_: Column, canon: Column, attempt: Column, key: str) -> Column:
+def surrogate(type_: Column, canon: Column, attempt: int, key: str) -> Column:
     """The replacement of a canonical form, itself in canonical form.
 
     Secrets, card numbers, phone numbers, social security numbers keep their
     length; phone numbers keep a leading country digit and a 555 exchange; IBANs
     keep country and letters and get valid check digits; persons keep their form
-    of address and number of names.
+    of address and number of names. From round STRICT on, family names and
+    mailboxes get more and more parts.
     """
-    seed = F.sha2(F.concat_ws("|", F.lit(key), type_, attempt.cast("string"), canon), 256)
+    seed = F.sha2(F.concat_ws("|", F.lit(key), type_, F.lit(str(attempt)), canon), 256)
     swap = _letters(seed)
-    email = F.concat(_each(F.substring_index(canon, "@", 1), swap), F.lit("@"), _domain(F.substring_index(canon, "@", -1), key))
+    more = range(0 if attempt < STRICT else 1 + (attempt - STRICT) // LENGTHEN)
+    tail = [_pick(tuple(_ALPHABETS[0]), _roll(seed, 400 + k, len(_ALPHABETS[0]))) for k in more]
+    email = F.concat(_each(F.substring_index(canon, "@", 1), swap), *tail, F.lit("@"), _domain(F.substring_index(canon, "@", -1), key))
     secret = _each(canon, lambda c, i: F.lower(F.conv(_roll(seed, i, 16).cast("string"), 10, 16)))
 
     def octet(part: Column, i: Column) -> Column:
@@ -164,7 +169,8 @@ def surrogate(type_: Column, canon: Column, attempt: Column, key: str) -> Column
     iban = F.concat(land, F.lpad((98 - _mod97(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0"), body)
     person = F.lit(None).cast("string")
     for (script, gender), titles in TITLES.items():
-        family = F.concat(*[_pick(part, _roll(seed, 200 + k, len(part))) for k, part in enumerate(FAMILY[script])])
+        first, middle, last = (_pick(part, _roll(seed, 200 + k, len(part))) for k, part in enumerate(FAMILY[script]))
+        family = F.concat(first, middle, *[_pick(FAMILY[script][1], _roll(seed, 400 + k, len(FAMILY[script][1]))) for k in more], last)
         given = _pick(GIVEN[script, gender], _roll(seed, 300, len(GIVEN[script, gender])))
         for title in titles:
             whole = F.concat_ws(" ", F.lit(title), F.when(canon.rlike(r"^\S+ \S+ "), given), family)
@@ -195,30 +201,87 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_mentions", F.transform("_typed", lambda e: F.struct(e["mention"].alias("mention"), e["type"].alias("type"), canonical(e["type"], e["mention"]).alias("canon")))).drop("_typed")
 
 
+def _losers(settled: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """Entities that have to be derived again; replacements in ``taken`` (type, surrogate) count as in use."""
+    ranked = settled.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
+    clash = settled.join(ranked.where("n > 1"), ["type", "surrogate"]).where(F.col("first.canon") != F.col("canon")).select("type", "canon")
+    own = settled.where("surrogate = canon") if taken is None else settled.join(taken, ["type", "surrogate"], "left_semi")
+    return cut(clash.unionByName(own.select("type", "canon")).distinct(), "clashes")
+
+
+def _format(type_: Column, canon: Column) -> Column:
+    """What an entity and its replacement always have in common."""
+    n = F.length(canon)
+    octets = F.array_join(F.transform(F.split(canon, r"\."), lambda p: F.length(p).cast("string")), ".")
+    phone = F.concat_ws("|", n.cast("string"), F.when(n > 10, F.substring(canon, F.lit(1), n - 10)))
+    card = F.concat_ws("|", n.cast("string"), F.substring(canon, 1, 1), (_luhn_sum(canon) % 10 == 0).cast("string"))
+    iban = F.concat(F.substring(canon, 1, 2), F.regexp_replace(F.substring(canon, F.lit(5), n), "[0-9]", "0"))
+    person = F.concat_ws("|", F.substring_index(canon, " ", 1), F.size(F.split(canon, " ")).cast("string"))
+    choices = {"ip": octets, "phone": phone, "card": card, "iban": iban, "secret": n.cast("string"), "person": person}
+    return reduce(lambda out, t: F.when(type_ == t, choices[t]).otherwise(out), choices, F.lit(""))
+
+
+def _exact(settled: DataFrame, losers: DataFrame) -> DataFrame:
+    """``settled`` with distinct replacements for ``losers``: unused values among the entities of the same format.
+
+    A format's entities have at least as many values as it has entities, so as
+    many as it has losers are unused. Values that no loser has itself are given
+    first, and to the losers whose own value is unused, so none gets its own;
+    if those are all the unused ones, they go round. A single loser that is left
+    with its own value changes with another entity of the format.
+    """
+    form = _format(F.col("type"), F.col("canon")).alias("form")
+    lost = losers.select("type", "canon", form)
+    some = lost.select("type", "form").distinct()
+    members = cut(settled.select("type", "canon", "surrogate", form).join(some, ["type", "form"], "left_semi"), "formats")
+    kept = cut(settled.join(losers, ["type", "canon"], "left_anti"), "kept")
+    free = members.select("type", "form", F.col("canon").alias("value")).join(kept.select("type", F.col("surrogate").alias("value")), ["type", "value"], "left_anti")
+    free = free.join(lost.select("type", F.col("canon").alias("value"), F.lit(True).alias("own")), ["type", "value"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    free = cut(free, "free")
+    lost = lost.join(free.select("type", F.col("value").alias("canon"), F.lit(True).alias("own")), ["type", "canon"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    whole = Window.partitionBy("type", "form")
+    free = free.withColumn("u", F.count("*").over(whole)).withColumn("a", F.sum(F.col("own").cast("int")).over(whole)).withColumn("k", F.row_number().over(whole.orderBy("own", "value")))
+    # all unused values are losers' own: the next one's
+    free = free.withColumn("k", F.when(F.col("u") == F.col("a"), F.col("k") % F.col("u") + 1).otherwise(F.col("k")))
+    lost = lost.withColumn("k", F.row_number().over(whole.orderBy(F.desc("own"), "canon")))
+    paired = lost.join(free.select("type", "form", "k", "value"), ["type", "form", "k"]).select("type", "form", "canon", F.col("value").alias("surrogate"))
+    paired = cut(paired, "paired")
+    single = paired.where("canon = surrogate").select("type", "form", F.col("canon").alias("x"))
+    other = members.join(losers, ["type", "canon"], "left_anti").groupBy("type", "form").agg(F.min(F.struct("canon", "surrogate")).alias("y"))
+    change = cut(single.join(other, ["type", "form"]), "changed")
+    moved = change.select("type", F.col("x").alias("canon"), F.col("y.surrogate").alias("surrogate")).unionByName(change.select("type", F.col("y.canon").alias("canon"), F.col("x").alias("surrogate")))
+    given = cut(paired.select("type", "canon", "surrogate").join(moved, ["type", "canon"], "left_anti").unionByName(moved), "given")
+    rest = settled.join(given, ["type", "canon"], "left_anti")
+    return cut(rest.unionByName(given.withColumn("attempt", F.lit(ROUNDS))), "surrogates")
+
+
 def derived_again(distinct: DataFrame, key: str) -> DataFrame:
-    """(type, canon, attempt) of the entities whose first replacement clashes.
+    """(type, canon, surrogate) of the entities whose first replacement clashes.
 
     Of entities that would share a replacement the first by code point keeps it.
     In the first rounds a replacement that is an entity of the corpus counts as
     taken too; afterwards only distinctness and being other than the original
-    do, as the entities may fill a short format.
+    do, as the entities may fill a short format. What the rounds leave is
+    settled exactly; replacements that are still shared are an error.
     """
     distinct = cut(distinct, "entities")
-    settled = cut(distinct.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("type"), F.col("canon"), F.lit(0), key)), "surrogates")
+    settled = cut(distinct.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("type"), F.col("canon"), 0, key)), "surrogates")
     for attempt in range(1, ROUNDS):
-        ranked = settled.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
-        clash = settled.join(ranked.where("n > 1"), ["type", "surrogate"]).where((F.col("first.canon") != F.col("canon"))).select("type", "canon")
-        own = settled.where("surrogate = canon").select("type", "canon")
-        if attempt < STRICT:
-            own = settled.join(distinct.withColumnRenamed("canon", "surrogate"), ["type", "surrogate"], "left_semi").select("type", "canon")
-        losers = cut(clash.unionByName(own).distinct(), "clashes")
+        losers = _losers(settled, distinct.withColumnRenamed("canon", "surrogate") if attempt < STRICT else None)
         n = losers.count()
         if not n:
             break
-        again = losers.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", surrogate(F.col("type"), F.col("canon"), F.lit(attempt), key))
+        again = losers.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", surrogate(F.col("type"), F.col("canon"), attempt, key))
         kept = settled.join(small(losers, n), ["type", "canon"], "left_anti")
         settled = cut(kept.unionByName(again), "surrogates")
-    return settled.where("attempt > 0").select("type", "canon", "attempt")
+    else:
+        losers = _losers(settled, None)
+        if losers.count():
+            settled = _exact(settled, losers)
+            shared = settled.groupBy("type", "surrogate").count().where("count > 1").count()
+            if shared:
+                raise ValueError(f"{shared} replacements are shared by several entities")
+    return settled.where("attempt > 0").select("type", "canon", "surrogate")
 
 
 def pseudonymise(docs: DataFrame, key: str = "latticework", text: str = "text") -> DataFrame:
@@ -234,15 +297,15 @@ def pseudonymise(docs: DataFrame, key: str = "latticework", text: str = "text")
     mentions = found.where(F.size("_mentions") > 0).select(F.explode("_mentions").alias("e"))
     again = cut(derived_again(mentions.select("e.type", "e.canon").distinct(), key), "again")
     n = again.count()
-    found = found.withColumn("_attempts", F.lit(None).cast("map<string,int>"))
+    found = found.withColumn("_again", F.lit(None).cast("map<string,string>"))
     if n:
         found = found.withColumn("_row", F.when(F.size("_mentions") > 0, F.xxhash64(text, F.lit(1))))
         seen = found.where("_row is not null").select("_row", F.explode("_mentions").alias("e")).select("_row", "e.type", "e.canon").distinct()
-        by_row = seen.join(small(again, n), ["type", "canon"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias("_again"))
+        by_row = seen.join(small(again, n), ["type", "canon"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "surrogate"))).alias("_again"))
         by_row = cut(by_row, "again_by_row")
-        found = found.join(small(by_row, by_row.count()), "_row", "left").withColumn("_attempts", F.col("_again"))
-    attempt = lambda e: F.coalesce(F.try_element_at("_attempts", F.concat_ws("|", e["type"], e["canon"])), F.lit(0))
-    step = F.transform("_mentions", lambda e: F.struct(e["mention"].alias("mention"), e["type"].alias("type"), surrogate(e["type"], e["canon"], attempt(e), key).alias("canon")))
+        found = found.drop("_again").join(small(by_row, by_row.count()), "_row", "left")
+    new = lambda e: F.coalesce(F.try_element_at("_again", F.concat_ws("|", e["type"], e["canon"])), surrogate(e["type"], e["canon"], 0, key))
+    step = F.transform("_mentions", lambda e: F.struct(e["mention"].alias("mention"), e["type"].alias("type"), new(e).alias("canon")))
     found = found.withColumn("_new", step)
     found = found.withColumn("_swaps", F.transform("_new", lambda e: written(e["type"], e["mention"], e["canon"])))
     pieces = F.zip_with(F.split(text, PATTERN), F.concat("_swaps", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new))

@@ -118,6 +118,33 @@ def test_pii_clashes_are_derived_again(spark):
     assert not set(got) & set(ips)
 
 
+def test_pii_more_persons_than_names(spark):
+    """Six thousand persons of one title do not fit the 4,096 short family names."""
+    people = [f"Mr. {a}{b}{c}" for a in ("Ka", "Lo", "Mi", "Nu", "Pe", "Ra", "So", "Tu") for b in "aeiouy" for c in (x + y + z for x in "bdfgk" for y in "aeiou" for z in "lmnrs")]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(people)], "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymise(docs).collect()]
+    assert len(set(people)) == len(got) == len(set(got)) == 6000
+    assert all(re.fullmatch(r"Mr\. [A-Z][a-z]+", t) for t in got) and not set(got) & set(people)
+
+
+@pytest.mark.parametrize("step", [1, 3])
+def test_pii_full_format(spark, monkeypatch, step):
+    """After few rounds most of a full format's addresses clash: what is left is settled exactly."""
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    monkeypatch.setattr(pii, "STRICT", 1)
+    ips = [f"{k // 1000}.{k // 100 % 10}.{k // 10 % 10}.{k % 10}" for k in range(0, 10000, step)]
+    got = [t for t, _ in swap(spark, *ips)]
+    assert len(set(got)) == len(ips) and all(a != b for a, b in zip(ips, got, strict=True))
+    assert all(re.fullmatch(r"\d\.\d\.\d\.\d", t) for t in got)
+
+
+def test_pii_last_value_changes_places(spark):
+    """A loser whose own value alone is unused changes with another entity of its format."""
+    whole = spark.createDataFrame([("ip", "1.1.1.1", 0, "1.1.1.2"), ("ip", "1.1.1.2", 0, "1.1.1.1"), ("ip", "1.1.1.3", 0, "1.1.1.1")], "type string, canon string, attempt int, surrogate string")
+    got = {r["canon"]: r["surrogate"] for r in pii._exact(whole, spark.createDataFrame([("ip", "1.1.1.3")], "type string, canon string")).collect()}
+    assert len(set(got.values())) == 3 and all(a != b for a, b in got.items())
+
+
 def test_pii_odd_rows(spark):
     text = "x" * 200_000 + " a@b.org " + "1" * 5000 + "+" * 5000
     clean = "Released under CC BY-NC 4.0. Version 2.0, page 3."
