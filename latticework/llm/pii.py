@@ -43,9 +43,10 @@ FAMILY = {
 }
 _NAMES = "|".join(t.replace(".", r"\.") for own in TITLES.values() for t in own)
 #: Types and their patterns, in order of precedence. No quantifier can backtrack over a long run.
+#: A run of over 128 hex digits is a secret if it has a letter; a number of that length is none.
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"),
-    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    ("secret", r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,128}|(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{129,}+)(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -55,7 +56,7 @@ PATTERNS = (
 )
 PATTERN = "|".join(p for _, p in PATTERNS)
 #: What every match has; texts without it are passed over.
-_HINT = rf"[0-9@]|[0-9a-f]{{32}}|(?:{_NAMES}) \p{{Lu}}"
+_HINT = rf"[0-9@]|[0-9A-Fa-f]{{32}}|(?:{_NAMES}) \p{{Lu}}"
 #: Rounds of derivation, those in which a replacement may not be an entity of the corpus, and later rounds after which names get another part.
 ROUNDS, STRICT, LENGTHEN = 64, 16, 4
 
@@ -186,8 +187,8 @@ def written(type_: Column, mention: Column, canon: Column) -> Column:
     solid = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), " ", ""))
     iban = _each(mention, lambda c, i: F.when(c == " ", c).otherwise(F.substring(canon, solid(i), F.lit(1))))
     cased = _each(canon, lambda c, i: F.when(F.substring(mention, i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
-    # a secret in upper case has digits too: its letters follow the whole
-    secret = F.when(mention.rlike("[A-F]"), F.upper(canon)).otherwise(canon)
+    # a secret in upper case has digits too: its letters follow the whole; one in mixed case keeps the case of each place
+    secret = F.when(mention.rlike("[A-F]") & mention.rlike("[a-f]"), cased).when(mention.rlike("[A-F]"), F.upper(canon)).otherwise(canon)
     names = F.array_join(F.transform(F.split(canon, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
     return F.when(type_.isin("card", "phone", "ssn"), digits).when(type_ == "iban", iban).when(type_ == "secret", secret).when(type_ == "person", names).otherwise(cased)
 

@@ -145,6 +145,17 @@ def test_pii_last_value_changes_places(spark):
     assert len(set(got.values())) == 3 and all(a != b for a, b in got.items())
 
 
+def test_pii_long_and_mixed_secrets(spark):
+    """Keys of 129 and more hex digits and keys in mixed case are secrets too."""
+    keys = ["0f" * 64 + "a", "3C" * 256, "aB3dE5f7" * 5, "ABCDEFAB" * 4, "c0ffee11" * 2000]
+    got = swap(spark, *(f"key = {k};" for k in keys))
+    assert [n for _, n in got] == [1] * len(keys)
+    for k, (text, _) in zip(keys, got, strict=True):
+        new = re.fullmatch(r"key = ([0-9A-Fa-f]+);", text)[1]
+        assert len(new) == len(k) and new.lower() != k.lower()
+    assert re.search("[A-F]", got[2][0]) and got[1][0][6:] == got[1][0][6:].upper()
+
+
 def test_pii_odd_rows(spark):
     text = "x" * 200_000 + " a@b.org " + "1" * 5000 + "+" * 5000
     clean = "Released under CC BY-NC 4.0. Version 2.0, page 3."
