@@ -5,7 +5,8 @@ navigation, blocks whose class or id names an advert, a sidebar, a notice or
 reader comments) is taken out. Every paragraph earns points for its length and
 its commas, which go to its parent in full and to further ancestors in falling
 parts; a container's points are discounted by its link density. The best
-container is kept with those siblings that look like text too. Pages are parsed
+container is kept with those siblings that look like text too; inside an article
+or main element, with all of that element but blocks of links. Pages are parsed
 one by one, so memory is that of one page.
 """
 
@@ -178,7 +179,7 @@ def _own_text(node: Node) -> str:
     return " ".join(unescape("".join(out)).split())
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     """Texts of the blocks under ``nodes`` in page order, white space folded."""
     out, run = [], []
 
@@ -206,8 +207,8 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def best(root: Node) -> list[Node]:
-    """The best container and its siblings that are kept, in page order."""
+def best(root: Node) -> list[Node | str]:
+    """The best container and its siblings or the rest of its article that are kept, in page order."""
     nodes = _nodes(root)
     for node in nodes:
         if node.tag in INLINE:
@@ -235,6 +236,11 @@ def best(root: Node) -> list[Node]:
         return [max(named, key=lambda x: x.chars) if named else root]
     if top.parent is None or top.tag in ("body", "article", "main"):
         return [top]
+    line = list(_line(top))
+    home = next((x for x in line if x.tag in ("article", "main")), None)
+    if home is not None:
+        # what the page marks as its content is kept whole, but for blocks of links
+        return [k for k in home.kids if isinstance(k, str) or not k.out and (k in line or density(k) < 0.5)]
     kept = []
     for k in top.parent.kids:
         if k is top:

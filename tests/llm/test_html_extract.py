@@ -59,3 +59,11 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, html_extract.extract(pages).collect()))
     assert got == [(1, "", 0), (1, "", 0), (2, "x", 1)]
     assert html_extract.extract(pages.where("false")).collect() == []
+
+
+def test_article_of_several_sections():
+    long = "A long paragraph, with commas, and enough words to earn its points. " * 8
+    page = f"<body><nav><a href='/'>Home</a></nav><article><header><h1>T</h1></header>Bare <b>text</b>.<div><p>{long}</p><div><p>{long}</p></div></div><section><p>Short.</p></section><div><a href='/x'>All the other pages of this site</a></div><footer>F</footer></article><p>Outside.</p></body>"
+    assert html_extract.main_text(page).split("\n") == ["T", "Bare text.", long.strip(), long.strip(), "Short."]
+    deep = f"<main><h2>Head</h2><div><div><p>{long}</p></div><section>Beside.</section></div></main>"
+    assert html_extract.main_text(deep).split("\n") == ["Head", long.strip(), "Beside."]
