@@ -46,7 +46,6 @@ def tokens(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -75,12 +74,17 @@ def test_round_trip(spark, sf):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, 0), (2, "", 0), (3, "a <|endoftext|> b", 0), (3, "a <|endoftext|> b", 0), (None, "x", 0), (4, "word " * 5000, 0), (5, "\x00é日本", 0), (6, "z" * 100_000, 0)]
+    rows = [(1, None, 0), (2, "", 0), (3, "a <|endoftext|> b", 0), (3, "a <|endoftext|> b", 0), (None, "x", 0), (4, "word " * 5000, 0), (5, "\x00é日本", 0), (6, "z" * 100_000, 0), (7, "<|endoftext|><|endoftext|>x <|endof", 0), (8, " " * 1_000_000 + "\n" * 1_000_000, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length int")
     got = packing.pack(docs, with_ids=True).collect()
     whole = defaultdict(int)
     for r in got:
         whole[r["doc_id"]] += r["length"]
     want = tokens([r[1] for r in rows])
-    assert whole == {1: 1, 2: 1, 3: 2 * len(want[2]), None: len(want[4]), 4: len(want[5]), 5: len(want[6]), 6: len(want[7])}
+    assert whole == {1: 1, 2: 1, 3: 2 * len(want[2]), None: len(want[4]), 4: len(want[5]), 5: len(want[6]), 6: len(want[7]), 7: len(want[8]), 8: len(want[9])}
+    assert len(want[2]) == 5 and want[8][:2] == [50256] * 2
+    for doc, ids in zip([r[0] for r in rows], want, strict=True):
+        if doc and doc != 3:
+            own = sorted((r for r in got if r["doc_id"] == doc), key=lambda r: r["piece"])
+            assert sum((r["ids"] for r in own), []) == ids and [r["ids_crc32"] for r in own] == [zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in own]
     assert packing.pack(docs.where("false")).collect() == []
