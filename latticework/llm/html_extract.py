@@ -5,15 +5,17 @@ navigation, blocks whose class or id names an advert, a sidebar, a notice or
 reader comments) is taken out. Every paragraph earns points for its length and
 its commas, which go to its parent in full and to further ancestors in falling
 parts; a container's points are discounted by its link density. The best
-container is kept with those siblings that look like text too; inside an article
-or main element, with all of that element but blocks of links. Pages are parsed
-one by one, so memory is that of one page.
+container is kept whole. Around it, on every level up to the body, bare text,
+headings and text-like elements are kept too, and containers that have a heading
+or a share of the points; inside an article or main element, all of that element
+but blocks of links. Pages are parsed one by one, in time and memory in
+proportion to the page, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -28,24 +30,31 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 TEXTUAL = PARAGRAPHS | frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table figure figcaption hr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Open elements that a start tag ends, and those at which the search stops.
-IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "a": ({"a"}, {"p", "li", "td", "div", "table"})}
+STOPS = frozenset({"table", "td", "th", "button", "body", "html"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar\w*|side-?bar|widget|menu\w*|nav\w*|navbar|breadcrumbs?|footer|header|masthead|comment\w*|disqus|respond|replies|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|pagination|pager|login|signup|search)(?=$|[\s_-]|\d)", re.I)
 _ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu menubar".split())
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Attributes up to the ``>`` that ends a tag: not one in a quoted value; a quote that is never closed is a plain character.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 #: Characters of a paragraph below which it earns nothing, points at most for length.
 LEAST, MOST = 25, 3.0
+#: The part of a paragraph's points that goes to its parent, the next ancestors and all further ones.
+SHARES = (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12, 1 / 15)
 SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("chars", "kids", "linked", "out", "parent", "score", "tag")
+    __slots__ = ("chars", "heading", "kids", "linked", "out", "parent", "points", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False):
         self.tag, self.parent, self.out = tag, parent, out
         self.kids: list[Node | str] = []
-        self.score = 0.0
+        self.score, self.points = 0.0, None
         self.chars = self.linked = 0
+        self.heading = False
 
 
 def _chrome(tag: str, attributes: str, inside: bool) -> bool:
@@ -60,23 +69,37 @@ def _chrome(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def _tag_end(html: str, at: int) -> int:
-    """Place of the ``>`` that ends a tag, past quoted values; the first ``>`` if quotes don't pair."""
-    first = end = html.find(">", at)
-    for _ in range(64):
-        if end < 0:
-            return first
-        inner = html[at:end]
-        if re.sub(r"\"[^\"]*\"|'[^']*'", "", inner).count('"') + re.sub(r"\"[^\"]*\"|'[^']*'", "", inner).count("'") == 0:
-            return end
-        end = html.find(">", end + 1)
-    return first
+class _Open:
+    """The open elements, outermost first, and the depths at which each tag is open."""
+
+    def __init__(self, root: Node):
+        self.line, self.depths, self.blocks = [root], {root.tag: [0]}, [0]
+
+    def push(self, node: Node) -> None:
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.line))
+        self.depths.setdefault(node.tag, []).append(len(self.line))
+        self.line.append(node)
+
+    def cut(self, depth: int) -> None:
+        """End all elements from ``depth`` on; the root stays."""
+        while len(self.line) > max(depth, 1):
+            node = self.line.pop()
+            self.depths[node.tag].pop()
+            if self.blocks[-1] == len(self.line):
+                self.blocks.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Depth of the innermost open element of these tags, or -1."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
 
 
 def parse(html: str) -> Node:
-    root = at = Node("html", None)
-    place, n, inside = 0, len(html), 0
+    root = Node("html", None)
+    open_ = _Open(root)
+    place, n = 0, len(html)
     while place < n:
+        at = open_.line[-1]
         start = html.find("<", place)
         if start < 0:
             start = n
@@ -99,45 +122,38 @@ def parse(html: str) -> Node:
             at.kids.append("<")
             place = start + 1
             continue
-        end = _tag_end(html, m.end())
-        if end < 0:
+        rest = _REST.match(html, m.end())
+        if not rest:
             break
-        tag, attributes, place = m[0].lower(), html[m.end() : end], end + 1
+        tag, attributes, place = m[0].lower(), rest[1], rest.end()
         if closing:
-            open_ = at
-            while open_.parent is not None and open_.tag != tag:
-                # a stray end tag of inline markup doesn't close blocks
-                if tag in INLINE and open_.tag not in INLINE:
-                    break
-                open_ = open_.parent
-            if open_.tag == tag and open_.parent is not None:
-                at = open_.parent
+            depth = open_.last((tag,))
+            # a stray end tag of inline markup doesn't close blocks
+            if depth > 0 and (tag not in INLINE or depth > open_.blocks[-1]):
+                open_.cut(depth)
             continue
         if tag in ("html", "body"):
             if at is root and tag == "body":
-                at = Node("body", root)
-                root.kids.append(at)
+                body = Node("body", root)
+                root.kids.append(body)
+                open_.push(body)
             continue
         if tag == "head":
             continue
-        stops = {"table", "td", "th", "button", "body", "html"}
-        if tag in CLOSES_P:
-            at = _close(at, {"p"}, stops)
-        if tag in IMPLIED:
-            at = _close(at, *IMPLIED[tag])
-        inside = any(a.tag in ("article", "main") for a in _line(at)) if tag == "header" else 0
-        node = Node(tag, at, _chrome(tag, attributes, bool(inside)))
+        for ended, stops in ((({"p"}, STOPS),) if tag in CLOSES_P else ()) + ((IMPLIED[tag],) if tag in IMPLIED else ()):
+            depth = open_.last(ended)
+            if depth > open_.last(stops):
+                open_.cut(depth)
+        at = open_.line[-1]
+        inside = tag == "header" and open_.last(("article", "main")) > 0
+        node = Node(tag, at, _chrome(tag, attributes, inside))
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, place)
             place = n if not close else html.find(">", close.start()) + 1 or n
             continue
         at.kids.append(node)
-        if tag not in VOID and not attributes.endswith("/"):
-            at = node
-        elif tag not in VOID and tag in INLINE:
-            continue
-        elif tag not in VOID:
-            at = node
+        if tag not in VOID and not (tag in INLINE and attributes.endswith("/")):
+            open_.push(node)
     return root
 
 
@@ -147,15 +163,6 @@ def _line(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _close(at: Node, tags: set[str], stops: set[str]) -> Node:
-    for open_ in _line(at):
-        if open_.tag in tags and open_.parent is not None:
-            return open_.parent
-        if open_.tag in stops:
-            break
-    return at
-
-
 def _nodes(root: Node) -> list[Node]:
     """All kept nodes, parents before children."""
     out, stack = [], [root]
@@ -166,17 +173,18 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
-def _own_text(node: Node) -> str:
-    """Text of a node and the inline markup in it, blocks left out."""
-    out, stack = [], [*reversed(node.kids)]
+def _own_text(node: Node, link: bool) -> tuple[str, int]:
+    """Text of a node and the inline markup in it, blocks left out; how many characters of it are links."""
+    out, linked, stack = [], 0, [(k, link) for k in reversed(node.kids)]
     while stack:
-        k = stack.pop()
+        k, link = stack.pop()
         if isinstance(k, str):
             out.append(k)
+            linked += len(" ".join(unescape(k).split())) if link else 0
         elif not k.out and k.tag in INLINE:
             out.append(" " if k.tag in ("br", "img") else "")
-            stack += reversed(k.kids)
-    return " ".join(unescape("".join(out)).split())
+            stack += [(x, link or k.tag == "a") for x in reversed(k.kids)]
+    return " ".join(unescape("".join(out)).split()), linked
 
 
 def blocks(nodes: list[Node | str]) -> list[str]:
@@ -207,25 +215,51 @@ def blocks(nodes: list[Node | str]) -> list[str]:
     return out
 
 
-def best(root: Node) -> list[Node | str]:
-    """The best container and its siblings or the rest of its article that are kept, in page order."""
-    nodes = _nodes(root)
+def _score(nodes: list[Node]) -> None:
+    """Characters, link characters and points of all nodes, parents before children in ``nodes``.
+
+    A paragraph's points go to its parent in full, to the next five ancestors in
+    the parts of SHARES and to all further ones in the last part, so each node
+    hands its parent the points by distance. Inline elements are passed through.
+    """
+    links: dict[int, bool] = {}
     for node in nodes:
+        link = links[id(node)] = node.tag == "a" or node.parent is not None and links[id(node.parent)]
         if node.tag in INLINE:
             continue
-        text = _own_text(node)
-        node.chars += len(text)
+        text, linked = _own_text(node, link)
+        node.chars, node.linked, node.heading = len(text), min(linked, len(text)), node.tag in HEADINGS and bool(text)
         if len(text) >= LEAST and (node.tag in PARAGRAPHS or node.tag in ("div", "section", "article", "main", "body")):
             points = 1 + sum(map(text.count, ",،、，")) + min(len(text) / 100, MOST)
             first = node if node.tag not in PARAGRAPHS else node.parent
-            for k, above in enumerate(_line(first)):
-                above.score += points / (1, 2, 6, 9, 12, 15)[min(k, 5)]
+            while first.tag in INLINE and first.parent is not None:
+                first = first.parent
+            first.points = first.points or [0.0] * len(SHARES)
+            first.points[0] += points
     for node in reversed(nodes):
-        if node.tag == "a":
-            node.linked = len(_own_text(node))
-        if node.parent is not None:
-            node.parent.chars += 0 if node.tag in INLINE else node.chars
-            node.parent.linked += node.linked
+        if node.points:
+            node.score = sum(p * s for p, s in zip(node.points, SHARES, strict=True))
+        above = node.parent
+        if above is None:
+            continue
+        above.chars += node.chars
+        above.linked += node.linked
+        above.heading |= node.heading
+        if node.points:
+            moved = node.points if node.tag in INLINE else [0.0, *node.points[:-2], node.points[-2] + node.points[-1]]
+            above.points = [a + b for a, b in zip(above.points, moved, strict=True)] if above.points else moved
+
+
+def _part(node: Node, kids: list[Node | str]) -> Node:
+    out = Node(node.tag, None)
+    out.kids = kids
+    return out
+
+
+def best(root: Node) -> list[Node | str]:
+    """The best container and what is kept around it, in page order."""
+    nodes = _nodes(root)
+    _score(nodes)
     density = lambda x: min(1.0, x.linked / x.chars) if x.chars else 0.0
     held = [x for x in nodes if x.tag not in INLINE]
     value = lambda x: x.score * (1 - density(x))
@@ -234,22 +268,25 @@ def best(root: Node) -> list[Node | str]:
         # no paragraph long enough: the article, else the page
         named = [x for x in held if x.tag in ("article", "main") and x.chars]
         return [max(named, key=lambda x: x.chars) if named else root]
-    if top.parent is None or top.tag in ("body", "article", "main"):
-        return [top]
-    line = list(_line(top))
-    home = next((x for x in line if x.tag in ("article", "main")), None)
-    if home is not None:
+    line = [*_line(top)]
+    on = {id(x) for x in line}
+    textual = lambda k: k.tag in HEADINGS or k.tag == "p" or k.tag in TEXTUAL and density(k) < 0.5
+    homes = [x for x in line if x.tag in ("article", "main")]
+    if homes:
         # what the page marks as its content is kept whole, but for blocks of links
-        return [k for k in home.kids if isinstance(k, str) or not k.out and (k in line or density(k) < 0.5)]
-    kept = []
-    for k in top.parent.kids:
-        if k is top:
-            kept.append(k)
-        elif isinstance(k, Node) and not k.out and k.tag not in INLINE:
-            enough = value(k) >= SIBLING_SHARE * value(top)
-            if enough or k.tag in TEXTUAL and density(k) < 0.5:
-                kept.append(k)
-    return kept
+        return [k for k in homes[-1].kids if isinstance(k, str) or not k.out and (id(k) in on or k.tag in INLINE or textual(k) or density(k) < 0.5)]
+
+    def kept(k: Node | str) -> bool:
+        if isinstance(k, str):
+            return True
+        if k.out or k.tag == "a":
+            return False
+        return k.tag in INLINE or textual(k) or value(k) >= SIBLING_SHARE * value(top) or k.heading and density(k) < 0.5
+
+    found = top
+    for above in line[1:]:
+        found = _part(above, [found if id(k) in on else k for k in above.kids if not isinstance(k, str) and id(k) in on or kept(k)])
+    return [found]
 
 
 def main_text(html: str | None) -> str:

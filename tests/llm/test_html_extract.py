@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -67,3 +68,24 @@ def test_article_of_several_sections():
     assert html_extract.main_text(page).split("\n") == ["T", "Bare text.", long.strip(), long.strip(), "Short."]
     deep = f"<main><h2>Head</h2><div><div><p>{long}</p></div><section>Beside.</section></div></main>"
     assert html_extract.main_text(deep).split("\n") == ["Head", long.strip(), "Beside."]
+
+
+def test_titles_and_bare_text_are_kept():
+    two = f"<p>{LONG}</p><p>{LONG}</p>"
+    assert main_text(f"<article><div><h1>Title</h1></div><div><div>{two}</div></div></article>") == f"Title\n{LONG}\n{LONG}"
+    assert main_text(f"<body><div><div><h1>Title</h1></div>Bare.<div><div>{two}</div></div></div></body>") == f"Title\nBare.\n{LONG}\n{LONG}"
+    assert main_text(f"<main><h1>Title</h1><article>{two}<p><a href='/x'>Read the report.</a></p></article></main>") == f"Title\n{LONG}\n{LONG}\nRead the report."
+    assert main_text(f"<body>Lead <i>in</i>.<span><div>{two}</div></span></body>") == f"Lead in.\n{LONG}\n{LONG}"
+
+
+def test_quoted_values_of_any_length():
+    assert main_text(f"<article><p title='{'>' * 70}'>x {LONG}</p><p data-a=\"{'>' * 100_000}\" id=b>y</p></article>") == f"x {LONG}\ny"
+    assert main_text("<p title='open>x</p>") == "x" and main_text("<p a=b>c'>d</p>") == "c'>d"
+    assert main_text("<p title = \"a > b\" x='>'>z</p><a href=?q=1>w</a>") == "z\nw"
+
+
+@pytest.mark.parametrize("start,end", [("<div>", ""), ("<div><p>", ""), ("<i>", "</b></p>"), ("<button><div>", ""), ("<a href='='><b>", "</i>"), ("<ul><li>", "</ol>"), ("<p a='", ""), ("<table><tr><td>", "")])
+def test_time_is_linear(start, end):
+    began = time.process_time()
+    assert main_text(start * 100_000 + "x" + end * 100_000) in ("x", "")
+    assert time.process_time() - began < 15
