@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.storage import BROADCAST_ROWS, cut, shared_dir, small
 
-__all__ = ["BROADCAST_ROWS", "UPPER", "WORD", "ascii_lower", "cut", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "UPPER", "WORD", "ascii_lower", "cut", "fresh", "shared_dir", "small", "table"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,3 +21,11 @@ def ascii_lower(c: Column | str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` has, upper and lower case alike."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, fresh, small
 
 UNKNOWN = "und"
 #: Hashed features, largest n-gram, centroids per language, labelled rows per language.
@@ -42,6 +42,7 @@ PROFILE_BITS, PROFILE_BYTES, START_BYTES = 18, 1 << 14, 64
 PROFILE_QUANTILE, PROFILE_PART = 0.01, 0.5
 #: Letters of one text that are counted at a time.
 BLOCK = 1 << 20
+#: Letters and the numerals that ``re`` takes for some.
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACES = re.compile(rb" +")
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -49,7 +50,7 @@ _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 def letters(text: str | None) -> bytes:
     """Lower-cased UTF-8 with every run of other ASCII characters as one space; empty if there is no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
         return b""
     return _SPACES.sub(b" ", b" " + text.lower().encode("utf-8", "replace").translate(_FOLD) + b" ")
 
@@ -149,10 +150,11 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROID
     sample come to the driver.
     """
     # a share by hash, known from the counts, leaves a few times the sample to rank
-    counted = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("_rows")).withColumnRenamed("lang", "_lang")
+    labelled = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    counted = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_rows"))
     counted = cut(counted, "languages")
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    near = labelled.where("text is not null").join(small(counted, counted.count()), F.col("lang") == F.col("_lang")).where(drawn * F.col("_rows") <= F.lit(4 * per_lang << 30))
+    near = labelled.join(small(counted, counted.count()), F.col("lang") == F.col("_lang")).where(drawn * F.col("_rows") <= F.lit(4 * per_lang << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = near.select("lang", "doc_id", "text").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
 
@@ -202,4 +204,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "rejected": [r[2] for r in rows]})
 
     named = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.withColumn("_language", predict("text")).select(*[F.col(f"`{c}`") for c in named], "_language.lang_pred", "_language.score", "_language.rejected")
+    own = fresh(docs, "_language")
+    found = docs.select(*[F.col(f"`{c}`") for c in named], predict("text").alias(own))
+    return found.select(*[F.col(f"`{c}`") for c in named], f"{own}.lang_pred", f"{own}.score", f"{own}.rejected")

@@ -59,3 +59,15 @@ def test_rejects_foreign_words_in_latin_script(spark, at):
     assert all(rejected for _, _, rejected in found), [(t[:30], f) for t, f in zip(odd, found, strict=True) if not f[2]]
     clean = [t for t in (r["text"] for r in docs.where("held").collect()) if langid.letters(t)]
     assert np.mean([model.predict(t)[2] for t in clean]) < 0.0005
+
+
+def test_letters_are_category_l(spark, sf):
+    """Numerals that look like letters are none; fits count only rows that have a text."""
+    assert [langid.letters(t) for t in ("½ ² ① Ⅷ", "٣ ③", "½", "_ 12 !")] == [b""] * 4
+    assert all(langid.letters(t) for t in ("ª", "中", "½ a", "ʰ"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    nulls = spark.range(20_000).selectExpr("id + 1000000 as doc_id", "cast(null as string) as text", "'en' as lang")
+    assert (langid.fit(docs).centroids == langid.fit(docs.unionByName(nulls)).centroids).all()
+    odd = spark.createDataFrame([(1, "½ ² ① Ⅷ", "own", "Own")], "doc_id long, text string, _language string, __language string")
+    got = langid.identify(odd, langid.fit(docs)).first()
+    assert (got["_language"], got["__language"], got["lang_pred"], got["score"], got["rejected"]) == ("own", "Own", "und", 0.0, True)
