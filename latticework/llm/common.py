@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from latticework.storage import BROADCAST_ROWS, cut, shared_dir, small
 
-__all__ = ["BROADCAST_ROWS", "UPPER", "WORD", "ascii_lower", "cut", "fresh", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "UPPER", "WORD", "ascii_lower", "cut", "fresh", "light", "narrow", "shared_dir", "small", "table"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that goes to a Python worker, and of a side that is broadcast, as held in memory.
+BATCH_BYTES, BROADCAST_BYTES = 4 << 20, 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -29,3 +31,16 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def narrow(spark: SparkSession) -> None:
+    """Let the session send Arrow batches of at most BATCH_BYTES, so that long texts don't fill the workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, str(64 << 20)).lower().rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def light(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` of ``row_bytes`` in memory are within BROADCAST_BYTES."""
+    return small(df, rows, BROADCAST_BYTES // row_bytes)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import narrow
+
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav aside footer form button select option dialog menu svg math canvas object audio video head input label fieldset".split()) | RAW
@@ -305,6 +307,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(main_text)
 
+    narrow(pages.sparkSession)
     names = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     found = pages.select(*[F.col(f"`{c}`") for c in names], run(F.coalesce(F.col(html), F.lit(""))).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small
+from .common import cut, fresh, narrow, small
 
 UNKNOWN = "und"
 #: Hashed features, largest n-gram, centroids per language, labelled rows per language.
@@ -196,6 +196,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Texts that are null, empty or without a letter are ``und`` with score 0 and
     rejected. Equal rows get equal answers; other columns stay as they are.
     """
+    narrow(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, light, narrow
 from .fingerprints import split_all, windows, word_hashes
 from .substring_dedup import slices
 
@@ -41,8 +41,10 @@ SHINGLE, RETAINED, SIMILARITY = 5, 256, 75
 LISTED, SHARED = 64, 28
 #: Standard deviations that an estimate may lie below the similarity.
 SLACK = 5
-#: Members of a list in a block; ids that are broadcast.
-BLOCK, BROADCAST_IDS = 1024, 500_000
+#: Members of a list in a block; pairs of one id, and bytes of their other ends' texts, that are held against it at a time.
+BLOCK, PAIRS, PAIR_BYTES = 256, 2048, 8 << 20
+#: Columns of an incidence table at a time.
+COLUMNS = 4096
 #: Pairs of a class with other components that come up in each further round.
 ROUNDS = (4, None)
 #: Links up to which one task finds the components, without any shuffle.
@@ -66,30 +68,31 @@ def sets(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def least_shared(n: Column) -> Column:
-    """Retained values that a set of n shingles shares with any linked one, at least."""
-    return F.least(F.ceil(n * SIMILARITY / 100), F.lit(SHARED)).cast("int")
-
-
 def signatures(docs: DataFrame, shingle: int = SHINGLE, retained: int = RETAINED) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_hash and sketch of every row."""
-    names = ["doc_id", "text_hash", "n_shingles", "set_hash", "sketch"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    """doc_id, text_hash, n_bytes, n_shingles, set_hash, listed and sketch of every row.
+
+    ``sketch`` has the retained hashes, of which the upper halves do for
+    estimates, ``listed`` those that may enter lists, whole.
+    """
+    names = ["doc_id", "text_hash", "n_bytes", "n_shingles", "set_hash", "listed", "sketch"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(batch):
                 own = sets(texts, shingle)
-                n = len(texts)
-                made = [[len(s) for s in own], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own], [s[:retained].astype(np.int64) for s in own]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + n], batch.column(2)[first : first + n], *(pa.array(c, t) for c, t in zip(made, types[2:], strict=True))], names=names)
+                halves = [(s[:retained] >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in own]
+                made = [[len(t or b"") for t in texts], [len(s) for s in own], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own], [s[: min(LISTED, retained)].view(np.int64) for s in own], halves]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[first : first + len(texts)] for c in (0, 2)), *(pa.array(c, t) for c, t in zip(made, types[2:], strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, sketch array<long>")
+    narrow(docs.sparkSession)
+    schema = "doc_id long, text_hash long, n_bytes long, n_shingles long, set_hash binary, listed array<long>, sketch array<int>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
-def inverted_lists(classes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(value, holders, id, hub): the lists that classes (id, text_hash, n) enter; hub is the least holder."""
-    values = _sketched(classes, sketches).select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
+def inverted_lists(classes: DataFrame) -> DataFrame:
+    """(value, holders, id, hub): the lists that classes (id, n, listed) enter; hub is the least holder."""
+    values = classes.select("id", "n", F.explode("listed").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("holders"), F.min("id").alias("hub")).where("holders > 1")
     by_class = Window.partitionBy("id")
     size = F.least("n", F.lit(LISTED))
@@ -98,15 +101,16 @@ def inverted_lists(classes: DataFrame, sketches: DataFrame) -> DataFrame:
     return listed.where("place <= entered").select("value", "holders", "id", "hub")
 
 
-def _sketched(classes: DataFrame, sketches: DataFrame, rows: int | None = None) -> DataFrame:
-    """Classes with their sketches; few classes go to the sketches, not the other way round."""
-    own = sketches.select(F.col("doc_id").alias("id"), "text_hash", "sketch")
-    return own.join(small(classes, classes.count() if rows is None else rows, BROADCAST_IDS), ["id", "text_hash"])
+def least_shared(n: Column) -> Column:
+    """Retained values that a set of n shingles shares with any linked one, at least."""
+    return F.least(F.ceil(n * SIMILARITY / 100), F.lit(SHARED)).cast("int")
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """The sizes of linked sets differ by no more than this."""
-    return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+def _sketched(ids: DataFrame, sketches: DataFrame, rows: int) -> DataFrame:
+    """Classes (id, text_hash, n, ...) of a counted number with their sketches; few go to the sketches, not the other way round."""
+    own = sketches.select(F.col("doc_id").alias("id"), "text_hash", "sketch")
+    found = own.join(light(ids.select("id", "text_hash", "n"), rows), ["id", "text_hash"])
+    return found if len(ids.columns) == 3 else found.join(ids.drop("text_hash", "n"), "id")
 
 
 def likely(shared: np.ndarray, union: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -128,60 +132,90 @@ def _tops(sketches: list[np.ndarray], n: np.ndarray) -> np.ndarray:
     return np.array([full if len(s) >= size else s[-1] for s, size in zip(sketches, n, strict=True)], dtype=np.uint64)
 
 
+def _unsigned(sketch: np.ndarray) -> np.ndarray:
+    return np.asarray(sketch, dtype=np.int32).view(np.uint32).astype(np.uint64)
+
+
+def _met_at(pairs: DataFrame, facts: DataFrame, fields: list[str], weight: str) -> DataFrame:
+    """For every pair (a, b) the facts of both ends, in order: a's row, with b null, before those of its b.
+
+    The pairs of one a are dealt to blocks by their number and the ``weight``
+    (bytes) of a's facts, so an id that meets a third of all others is spread
+    over many tasks; a's facts go once to each block.
+    """
+    # linked ends are of like size, so a's weight speaks for b's
+    heavy = pairs.groupBy("a").agg(F.count("*").alias("_n")).join(facts.select(F.col("id").alias("a"), F.col(weight).alias("_w")), "a")
+    parts = F.ceil(F.greatest(F.col("_n") / PAIRS, F.col("_n") * F.col("_w") / PAIR_BYTES)).cast("int")
+    heavy = cut(heavy.select("a", parts.alias("_parts")).where("_parts > 1"), "heavy")
+    dealt = pairs.join(light(heavy, heavy.count()), "a", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("b"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    dealt = cut(dealt, "dealt")
+    own = facts.select("id", *fields)
+    right = dealt.join(own.withColumnRenamed("id", "b"), "b").select("a", "block", "b", *fields)
+    left = dealt.select("a", "block").distinct().join(own.withColumnRenamed("id", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), *fields)
+    return left.unionByName(right).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose union's sketch speaks for a link."""
     pairs = cut(pairs, "candidates")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     n = ids.count()
-    own = cut(_sketched(classes.join(small(ids, n, BROADCAST_IDS), "id"), sketches, n), "sketches")
-    both = pairs
-    for side in ("a", "b"):
-        both = both.join(own.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+    own = classes.select("id", "text_hash", "n").join(light(ids, n), "id")
+    own = cut(_sketched(own, sketches, n).withColumn("n_bytes", 4 * F.size("sketch")), "sketches")
+    both = _met_at(pairs, own, ["n", "sketch"], "n_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_a, a, top_a = 0, np.zeros(0, dtype=np.uint64), 0
         for batch in batches:
-            n_a, n_b, s_a, s_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "s_a", "s_b"))
-            keep = np.zeros(len(n_a), dtype=bool)
-            for k, (na, nb, a, b) in enumerate(zip(n_a, n_b, s_a, s_b, strict=True)):
-                # sketches are in the order of unsigned hashes
-                a, b = a.view(np.uint64), b.view(np.uint64)
-                top = _tops([a, b], np.array([na, nb])).min()
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                union = np.searchsorted(a, top, "right") + np.searchsorted(b, top, "right") - shared
-                keep[k] = likely(shared, union, na + nb)
+            ids, n = batch.column("b"), batch.column("n").to_numpy()
+            column = batch.column("sketch")
+            flat, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            keep = np.zeros(len(n), dtype=bool)
+            first = ids.is_null().to_numpy(zero_copy_only=False)
+            for k, nb in enumerate(n.tolist()):
+                b = _unsigned(flat[cuts[k] : cuts[k + 1]])
+                top_b = _tops([b], np.array([nb]))[0]
+                if first[k]:
+                    n_a, a, top_a = nb, b, top_b
+                elif 100 * min(n_a, nb) >= SIMILARITY * max(n_a, nb):
+                    top = min(top_a, top_b)
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    union = np.searchsorted(a, top, "right") + np.searchsorted(b, top, "right") - shared
+                    keep[k] = likely(shared, union, n_a + nb)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.where(_alike(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n", "sketch").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough; docs: doc_id, text, text_hash."""
     pairs = cut(pairs, "pairs")
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "text_hash"), "id"), "ids")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "text_hash", "n_bytes"), "id"), "ids")
     n = ids.count()
     if not n:
         return pairs
-    texts = docs.join(small(ids, n, BROADCAST_IDS), (F.col("doc_id") == F.col("id")) & docs["text_hash"].eqNullSafe(ids["text_hash"])).select("id", "text")
-    texts = cut(texts, "texts")
-    both = pairs.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a"), "a").join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b"), "b")
+    own = docs.select(F.col("doc_id").alias("id"), "text", "text_hash").join(light(ids.select("id", "text_hash", "n_bytes"), n), ["id", "text_hash"])
+    # rows of one id and text are equal: one is enough
+    own = cut(own.select("id", "n_bytes", "text"), "texts")
+    if own.count() > n:
+        own = own.dropDuplicates(["id"])
+    both = _met_at(pairs, own, ["text"], "n_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, tuple[int, np.ndarray]] = {}
+        a = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
-            raw = [batch.column(c).cast(pa.binary()) for c in ("text_a", "text_b")]
-            keep = []
-            for i, pair in enumerate(zip(a, b, strict=True)):
-                got = []
-                for side, key, column in zip("ab", pair, raw, strict=True):
-                    if last.get(side, (None,))[0] != key:
-                        last[side] = key, sets([column[i].as_py()], shingle)[0]
-                    got.append(last[side][1])
-                shared = len(np.intersect1d(*got, assume_unique=True))
-                keep.append(100 * shared >= SIMILARITY * (len(got[0]) + len(got[1]) - shared))
+            first, texts = batch.column("b").is_null().to_numpy(zero_copy_only=False), batch.column("text").cast(pa.binary())
+            keep = np.zeros(len(first), dtype=bool)
+            for k in range(len(first)):
+                b = sets([texts[k].as_py()], shingle)[0]
+                if first[k]:
+                    a = b
+                else:
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    keep[k] = 100 * shared >= SIMILARITY * (len(a) + len(b) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,10 +275,10 @@ def across(lists: DataFrame, classes: DataFrame, sketches: DataFrame, found: Dat
     if not n:
         return None
     sizes = found.groupBy("component").agg((F.count("*") + 1).alias("size"))
-    rows = cut(placed.join(small(open_, n), "value").join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))), "members")
+    rows = cut(placed.join(light(open_, n), "value").join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))), "members")
     ids = cut(rows.select("id").distinct(), "ids")
     n = ids.count()
-    near = small(ids, n, BROADCAST_IDS)
+    near = light(ids, n)
     seen = tested.select("a", F.col("b").alias("id")).join(near, "id").groupBy("id").agg(F.collect_set("a").alias("seen"))
     order = lists.join(near, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("holders", "value"))).alias("e")).select("id", F.col("e.value").alias("entered"))
     plain = cut(classes.join(near, "id").select("id", "text_hash", "n").join(order, "id").join(seen, "id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<long>"))), "facts")
@@ -257,9 +291,7 @@ def across(lists: DataFrame, classes: DataFrame, sketches: DataFrame, found: Dat
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), value)), pa.array(used)], names=["value", "id"])
 
     used = cut(first.mapInArrow(open_members, "value long, id long").distinct(), "used")
-    # for estimates the upper halves of the hashes do
-    halves = F.transform("sketch", lambda h: F.shiftright(h, 32).cast("int"))
-    facts = cut(_sketched(plain, sketches, n).withColumn("sketch", halves).drop("text_hash"), "sketched")
+    facts = cut(_sketched(plain, sketches, n).drop("text_hash"), "sketched")
     second = _met(rows.join(used, ["value", "id"]).join(facts, "id"), ["id", "component", "size", "n", "entered", "seen", "sketch"])
 
     def likely_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,14 +339,26 @@ def _both(first: dict, second: dict, name: str, same: bool) -> list | np.ndarray
     return [*first[name], *second[name]] if isinstance(first[name], list) else np.concatenate([first[name], second[name]])
 
 
-def _incidence(arrays: list[np.ndarray], both: int) -> np.ndarray:
-    """Which array has which of the values that more than one has."""
-    values, codes = np.unique(np.concatenate(arrays), return_inverse=True) if arrays else (np.zeros(0), np.zeros(0, int))
-    used = np.bincount(codes, minlength=len(values)) > both
-    row, code = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]), np.cumsum(used) - 1
-    out = np.zeros((len(arrays), max(1, int(used.sum()))), dtype=np.float32)
-    ok = used[codes]
-    out[row[ok], code[codes[ok]]] = 1
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``left`` shares with each of ``right``; tables of COLUMNS values at a time."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    found = []
+    for own, all_ in zip((left, right), flat, strict=True):
+        row, code = np.repeat(np.arange(len(own)), [len(a) for a in own]), np.searchsorted(both, all_)
+        ok = code < len(both)
+        ok[ok] = both[code[ok]] == all_[ok]
+        order = np.argsort(code[ok], kind="stable")
+        found.append((row[ok][order], code[ok][order]))
+    for at in range(0, len(both), COLUMNS):
+        tables = []
+        for own, (row, code) in zip((left, right), found, strict=True):
+            x, y = np.searchsorted(code, [at, at + COLUMNS])
+            table = np.zeros((len(own), min(COLUMNS, len(both) - at)), dtype=np.float32)
+            table[row[x:y], code[x:y] - at] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
     return out
 
 
@@ -328,10 +372,9 @@ def _open(value: int, first: dict, second: dict, same: bool) -> tuple[tuple[np.n
     k = len(first["id"])
     left, right = slice(0, k), slice(0, k) if same else slice(k, None)
     before = [e[: int(np.flatnonzero(e == value)[0])] for e in _both(first, second, "entered", same)]
-    earlier = _incidence(before, 1)
     n, comp, ids = (_both(first, second, c, same) for c in ("n", "component", "id"))
     low, high = np.minimum(n[left, None], n[None, right]), np.maximum(n[left, None], n[None, right])
-    table = (earlier[left] @ earlier[right].T == 0) & (100 * low >= SIMILARITY * high) & (comp[left, None] != comp[None, right])
+    table = (_shared(before[left], before[right]) == 0) & (100 * low >= SIMILARITY * high) & (comp[left, None] != comp[None, right])
     at_left, at_right = ({int(i): j for j, i in enumerate(ids[side])} for side in (left, right))
     for i, seen in zip(ids.tolist(), _both(first, second, "seen", same), strict=True):
         # a pair is noted at its larger id
@@ -350,10 +393,9 @@ def _pairs(value: int, first: dict, second: dict, same: bool, take: int | None)
         return []
     k = len(first["id"])
     left, right = slice(0, k), slice(0, k) if same else slice(k, None)
-    sketches = [np.asarray(s, dtype=np.int32).view(np.uint32).astype(np.uint64) for s in _both(first, second, "sketch", same)]
+    sketches = [_unsigned(s) for s in _both(first, second, "sketch", same)]
     n, weight = (_both(first, second, c, same) for c in ("n", "size"))
-    held, tops = _incidence(sketches, 1), _tops(sketches, n)
-    shared = held[left] @ held[right].T
+    tops, shared = _tops(sketches, n), _shared(sketches[left], sketches[right])
     size = np.array([len(s) for s in sketches])
 
     def upto(rows: slice, limits: slice) -> np.ndarray:
@@ -393,12 +435,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, retained: int = RET
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = cut(signatures(docs, shingle, retained), "signatures")
     alike = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash")
-    classes = alike.agg(F.min(F.struct("doc_id", "text_hash", "n_shingles")).alias("rep"))
-    classes = cut(classes.select(F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("text_hash"), F.col("rep.n_shingles").alias("n"), "set_hash"), "classes")
-    nodes, sketches = classes.drop("set_hash"), signed.select("doc_id", "text_hash", "sketch")
+    classes = alike.agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "n_bytes", "listed")).alias("rep"))
+    classes = cut(classes.select(F.col("rep.doc_id").alias("id"), "rep.text_hash", F.col("rep.n_shingles").alias("n"), "rep.n_bytes", "set_hash", "rep.listed"), "classes")
+    nodes, sketches = classes.drop("set_hash", "listed"), signed.select("doc_id", "text_hash", "sketch")
     if sketches.groupBy("doc_id", "text_hash").count().where("count > 1").take(1):
         sketches = cut(sketches.dropDuplicates(["doc_id", "text_hash"]), "unrepeated")
-    lists = cut(inverted_lists(nodes, sketches), "lists")
+    lists = cut(inverted_lists(classes), "lists")
     tested = cut(lists.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hubs")
     links = cut(confirmed(estimated(tested, nodes, sketches), docs, nodes, shingle), "confirmed")
     found = components(links)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, narrow
 
 CAPACITY = 2048
 BUCKETS, BUCKET_ROWS = 64, 50_000
@@ -156,6 +156,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     Returns doc_id, piece, start, length, ids_crc32 and, if asked, ids.
     """
     path = path or vocabulary()
+    narrow(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

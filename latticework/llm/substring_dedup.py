@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, narrow
 from .fingerprints import mixed, sliding_min, split_all, windows, word_hashes
 
 #: Words of a window; words of the groups of which the least is the anchor.
@@ -43,16 +44,16 @@ _U = np.uint64
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[bytes | None]]]:
-    """(first row, texts) of about SLICE bytes at a time."""
-    texts = batch.column(column).cast(pa.binary()).to_pylist()
-    first = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or b"")
+    """(first row, texts) of about SLICE bytes at a time; no others are held as Python objects."""
+    texts, first, held = batch.column(column).cast(pa.binary()), 0, 0
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    for i, size in enumerate(sizes.tolist()):
+        held += size
         if held >= SLICE:
-            yield first, texts[first : i + 1]
+            yield first, texts[first : i + 1].to_pylist()
             first, held = i + 1, 0
     if first < len(texts):
-        yield first, texts[first:]
+        yield first, texts[first:].to_pylist()
 
 
 class Windows:
@@ -252,6 +253,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS) -> Da
     repeat each other. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    narrow(docs.sparkSession)
     words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     bits = min(most_bits, max(LEAST_BITS, int(words * CELLS_PER_WORD).bit_length()))
     bitmaps = repeated_cells(docs, bits, width)
