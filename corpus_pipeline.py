@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import langid, mixing, neardup, packing, pii
-from latticework.llm.common import cut, small, table
+from latticework.llm.common import cut, fresh, light, table
 
 #: No stage but the mix is expressible in SQL: a fitted model, a hash sketch and a tokenizer decide.
 ORACLE_SQL = None
@@ -29,17 +29,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the least doc_id.
 
-    Of rows that repeat a doc_id one stays.
+    Only what goes is looked up. Rows of one doc_id are one document; of rows
+    that repeat a doc_id and its text one stays, the least by the other columns.
+    Rows without doc_id, and those without words, are in no group and stay.
     """
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null")
-    kept = cut(kept.groupBy("doc_id").agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_id"), "kept")
-    n, most = kept.agg(F.count("*"), F.max("_rows")).first()
-    few = small(kept.drop("_rows"), n, neardup.BROADCAST_IDS)
-    held = docs.join(few, (F.col("doc_id") == F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))).select(docs["*"])
-    if (most or 0) > 1:
-        order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-        held = held.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return held.unionByName(docs.where("doc_id is null"))
+    found = neardup.near_duplicates(docs)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    ident, mark, many = fresh(docs, "_id"), fresh(docs, "_hash"), fresh(docs, "_rows")
+    pair = [F.col("doc_id").alias(ident), F.col("text_hash").alias(mark)]
+    same = lambda side: (F.col("doc_id") == side[ident]) & F.xxhash64("text").eqNullSafe(side[mark])
+    gone = cut(found.where("not kept").select(*pair).distinct(), "gone")
+    held = docs.join(light(gone, gone.count()), same(gone), "left_anti")
+    repeated = cut(found.where("kept and doc_id is not null").groupBy(*pair).agg(F.count("*").alias(many)).where(F.col(many) > 1).drop(many), "repeated")
+    if not (n := repeated.count()):
+        return held
+    place = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*names)
+    first = held.join(light(repeated, n), same(repeated), "left_semi").withColumn(many, F.row_number().over(place)).where(F.col(many) == 1).select(*names)
+    return held.join(light(repeated, n), same(repeated), "left_anti").unionByName(first)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
