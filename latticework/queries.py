@@ -534,3 +534,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from latticework import queries_base, queries_more  # noqa: E402, F401  they register themselves with the names above
