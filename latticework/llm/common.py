@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.storage import BROADCAST_ROWS, cut, shared_dir, small
 
-__all__ = ["BROADCAST_ROWS", "UPPER", "WORD", "ascii_lower", "cut", "fresh", "light", "narrow", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "UPPER", "WORD", "ascii_lower", "cut", "fresh", "lean", "light", "narrow", "shared_dir", "small", "table"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,3 +48,17 @@ def narrow(spark: SparkSession) -> None:
 def light(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` of ``row_bytes`` in memory are within BROADCAST_BYTES."""
     return small(df, rows, BROADCAST_BYTES // row_bytes)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a Python worker that gives its free memory back at the end, as workers outlive their tasks."""
+
+    def each(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return each

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, narrow, small
+from .common import cut, fresh, lean, narrow, small
 
 UNKNOWN = "und"
 #: Hashed features, largest n-gram, centroids per language, labelled rows per language.
@@ -167,7 +167,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROID
             yield pd.DataFrame({"lang": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "at": [np.flatnonzero(r[2]).astype("<i2").tobytes() for r in rows], "n": [r[2][np.flatnonzero(r[2])].astype("<i4").tobytes() for r in rows], **sent})
 
     kind = labelled.schema["doc_id"].dataType.simpleString()
-    got = sample.select("lang", "doc_id", "text").mapInPandas(featurise, f"lang string, doc_id {kind}, at binary, n binary, codes binary, times binary, start binary").collect()
+    got = sample.select("lang", "doc_id", "text").mapInPandas(lean(featurise), f"lang string, doc_id {kind}, at binary, n binary, codes binary, times binary, start binary").collect()
     got = sorted((r for r in got if len(r["at"])), key=lambda r: (r["lang"], str(r["doc_id"]), bytes(r["at"])))
     many = np.zeros((len(got), FEATURES), dtype=np.float32)
     for row, r in zip(many, got, strict=True):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, light, narrow
+from .common import cut, lean, light, narrow
 from .fingerprints import split_all, windows, word_hashes
 from .substring_dedup import slices
 
@@ -42,7 +42,7 @@ LISTED, SHARED = 64, 28
 #: Standard deviations that an estimate may lie below the similarity.
 SLACK = 5
 #: Members of a list in a block; pairs of one id, and bytes of their other ends' texts, that are held against it at a time.
-BLOCK, PAIRS, PAIR_BYTES = 256, 2048, 8 << 20
+BLOCK, PAIRS, PAIR_BYTES = 512, 256, 8 << 20
 #: Columns of an incidence table at a time.
 COLUMNS = 4096
 #: Pairs of a class with other components that come up in each further round.
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, retained: int = RETAINED
 
     narrow(docs.sparkSession)
     schema = "doc_id long, text_hash long, n_bytes long, n_shingles long, set_hash binary, listed array<long>, sketch array<int>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(run), schema)
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, sketches: DataFrame) -> Data
                     keep[k] = likely(shared, union, n_a + nb)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "n", "sketch").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n", "sketch").mapInArrow(lean(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -215,7 +215,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
                     keep[k] = 100 * shared >= SIMILARITY * (len(a) + len(b) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "text").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges, before = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"), None
     if edges.count() <= ONE_TASK:
-        return cut(edges.coalesce(1).mapInPandas(_roots, "id long, component long"), "components")
+        return cut(edges.coalesce(1).mapInPandas(lean(_roots), "id long, component long"), "components")
     while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
@@ -290,7 +290,7 @@ def across(lists: DataFrame, classes: DataFrame, sketches: DataFrame, found: Dat
             used = np.unique(np.concatenate([ids[0][table.any(1)], ids[1][table.any(0)]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), value)), pa.array(used)], names=["value", "id"])
 
-    used = cut(first.mapInArrow(open_members, "value long, id long").distinct(), "used")
+    used = cut(first.mapInArrow(lean(open_members), "value long, id long").distinct(), "used")
     facts = cut(_sketched(plain, sketches, n).drop("text_hash"), "sketched")
     second = _met(rows.join(used, ["value", "id"]).join(facts, "id"), ["id", "component", "size", "n", "entered", "seen", "sketch"])
 
@@ -299,7 +299,7 @@ def across(lists: DataFrame, classes: DataFrame, sketches: DataFrame, found: Dat
             columns = [*zip(*_pairs(value, left, right, same, take), strict=True)] or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 3, pa.float64()], strict=True)], names=["id", "a", "b", "share"])
 
-    pairs = second.mapInArrow(likely_pairs, "id long, a long, b long, share double")
+    pairs = second.mapInArrow(lean(likely_pairs), "id long, a long, b long, share double")
     if take:
         best = Window.partitionBy("id").orderBy(F.desc("share"), "a", "b")
         pairs = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= take)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, narrow
+from .common import cut, lean, narrow
 
 CAPACITY = 2048
 BUCKETS, BUCKET_ROWS = 64, 50_000
@@ -182,7 +182,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -216,4 +216,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), *map(pa.array, spots)], names=names)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cutted.schema)
-    return ranked.select(*cutted.columns, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.select(*cutted.columns, "rank").mapInArrow(lean(place), f"{fields}, sequence_id long, offset long")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrow
+from .common import cut, lean, narrow
 from .fingerprints import mixed, sliding_min, split_all, windows, word_hashes
 
 #: Words of a window; words of the groups of which the least is the anchor.
@@ -37,7 +37,7 @@ ROWS, CELLS_PER_WORD, LEAST_BITS, MOST_BITS = 2, 0.5, 16, 28
 #: Blocks that a row of the sketch is merged in.
 BLOCKS = 64
 #: Bytes of text hashed at a time, windows held before a slice ends, windows aimed at in a bucket.
-SLICE, HELD, BUCKET = 1 << 20, 2_000_000, 1_000_000
+SLICE, HELD, BUCKET = 1 << 19, 2_000_000, 1_000_000
 #: A null doc_id counts as larger than all others.
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
@@ -121,7 +121,7 @@ def repeated_cells(docs: DataFrame, bits: int, width: int) -> np.ndarray:
                 count[at] = np.minimum(count[at] + add, 2)
         return pd.DataFrame({"block": part["block"].iloc[:1], "bitmap": [np.packbits(count > 1).tobytes()]})
 
-    parts = docs.select("text").mapInArrow(sketch, "block int, once binary, more binary")
+    parts = docs.select("text").mapInArrow(lean(sketch), "block int, once binary, more binary")
     out = np.zeros((ROWS * BLOCKS, block // 8), dtype=np.uint8)
     for r in parts.groupBy("block").applyInPandas(merge, "block int, bitmap binary").collect():
         out[r["block"]] = np.frombuffer(r["bitmap"], np.uint8)
@@ -237,7 +237,7 @@ def repeats(docs: DataFrame, bitmaps: np.ndarray, bits: int, buckets: int, width
         out = [(part["doc_id"].iloc[k], part["text_hash"].iloc[k], s) for k, s in _stretches(row[late], place[late])]
         return pd.DataFrame(out, columns=["doc_id", "text_hash", "stretches"])
 
-    found = cut(docs.select("doc_id", "text", "text_hash").mapInArrow(group, schema), "windows")
+    found = cut(docs.select("doc_id", "text", "text_hash").mapInArrow(lean(group), schema), "windows")
     settled = found.where("bucket is not null").drop("stretches").groupBy("bucket").applyInPandas(settle, "doc_id long, text_hash long, stretches binary")
     return found.where("bucket is null").select("doc_id", "text_hash", "stretches").unionByName(settled)
 
@@ -286,4 +286,4 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS) -> Da
                     kept.append(b" ".join(left))
                 yield pa.RecordBatch.from_arrays([ids[first : first + len(texts)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    return joined.select("doc_id", "text", "stretches").mapInArrow(remove, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,length:int>>, kept_text string")
+    return joined.select("doc_id", "text", "stretches").mapInArrow(lean(remove), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,length:int>>, kept_text string")
