@@ -44,3 +44,27 @@ def test_odd_rows(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     assert ann.search(table.where("false")).collect() == []
     assert ann.search(table.where("vec_id = 0")).collect() == []
+
+
+def test_index_is_not_exhaustive(spark):
+    """With clusters a few per cent of the entries do; without, the walk ends at the share."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 32))
+    rows = [(i, (centres[i % 60] + 0.15 * rng.normal(size=32)).astype("f4").tolist()) for i in range(6000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want, got = exact(rows), found(ann.search(table, entries_least=100))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    assert hits >= 0.9 * 5 * len(want)
+    x = np.array([v for _, v in rows], dtype="f4")
+    unit = ann.units(x.tobytes(), 32, "<f4")
+    books = ann.Codebooks([ann.kmeans(unit[:, :16], 32), ann.kmeans(unit[:, 16:], 32, 1)], 32)
+    counts, near = np.zeros((32, 32), dtype=np.int64), books.distances(unit)
+    np.add.at(counts, tuple(books.cells(unit)), 1)
+
+    def looked_at(near):
+        reach = [ann.walk([d[i] for d in near], counts, 100, 2400) for i in range(0, len(near[0]), 50)]
+        a, b = books.cells(unit)
+        return [int(((near[0][i * 50][a] + near[1][i * 50][b]) <= r).sum()) for i, r in enumerate(reach)]
+
+    seen = looked_at(near)
+    assert np.mean(seen) < 0.1 * len(rows) and min(seen) >= 100
