@@ -55,13 +55,15 @@ PARTS = {"family": 3, "given": 2}
 _TITLES = "|".join(t.replace(".", r"\.") for own in TITLES.values() for t in own)
 _GIVEN = "|".join(n for own in GIVEN.values() for n in own)
 _NAME = r"\p{Lu}\p{L}*+(?:['’-]\p{L}++)*+"
+#: Two capitalised words in a row, before the lists are tried.
+_CAPITALS = r"(?<!\p{L})(?=\p{Lu}\p{L}*+\.? \p{Lu})"
 #: Starts of the keys that services hand out; they stay.
 _HEADS = r"AKIA|ASIA|AIza|gh[pousr]_|github_pat_|sk-|xox[abeoprs]-|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 _TAIL = r"-----END [A-Z ]{0,40}PRIVATE KEY-----"
 #: Types and their patterns, in order of precedence. No quantifier can backtrack over a long run.
 #: A run of over 128 hex digits is a secret if it has a letter; a number of that length is none.
 PATTERNS = (
-    ("token", rf"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[0-9A-Za-z]{{30,}}+|github_pat_[0-9A-Za-z_]{{30,}}+|sk-[0-9A-Za-z_-]{{20,}}+|xox[abeoprs]-[0-9A-Za-z-]{{10,}}+|AIza[0-9A-Za-z_-]{{35}}|eyJ[0-9A-Za-z_-]{{8,}}+\.eyJ[0-9A-Za-z_-]{{8,}}+\.[0-9A-Za-z_-]*+)(?![0-9A-Za-z])|-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----[0-9A-Za-z+/=\s]++{_TAIL}"),
+    ("token", rf"(?<![0-9A-Za-z])(?=[Agsxe])(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[0-9A-Za-z]{{30,}}+|github_pat_[0-9A-Za-z_]{{30,}}+|sk-[0-9A-Za-z_-]{{20,}}+|xox[abeoprs]-[0-9A-Za-z-]{{10,}}+|AIza[0-9A-Za-z_-]{{35}}|eyJ[0-9A-Za-z_-]{{8,}}+\.eyJ[0-9A-Za-z_-]{{8,}}+\.[0-9A-Za-z_-]*+)(?![0-9A-Za-z])|-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----[0-9A-Za-z+/=\s]++{_TAIL}"),
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,128}|(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{129,}+)(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
@@ -69,11 +71,11 @@ PATTERNS = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
     ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
-    ("person", rf"(?<![\p{{L}}])(?:(?:{_TITLES}) {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})"),
+    ("person", rf"{_CAPITALS}(?:(?:{_TITLES}) {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})"),
 )
 PATTERN = "|".join(p for _, p in PATTERNS)
 #: What every match has; texts without it are passed over.
-_HINT = rf"[0-9@]|[0-9A-Fa-f]{{32}}|{_HEADS}|eyJ|(?:{_TITLES}|{_GIVEN}) \p{{Lu}}"
+_HINT = rf"[0-9@]|(?<![0-9A-Za-z])(?=[Agsxe-])(?:{_HEADS}|eyJ)|(?<![0-9A-Za-z])[A-Fa-f]{{32}}|{_CAPITALS}(?:{_TITLES}|{_GIVEN}) "
 #: Rounds of derivation for formats of fixed length, and those in which a replacement may not be an entity of the corpus.
 ROUNDS = STRICT = 64
 
