@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, narrow
+from .common import cut, lean, light, narrow
 from .fingerprints import mixed, sliding_min, split_all, windows, word_hashes
 
 #: Words of a window; words of the groups of which the least is the anchor.
@@ -41,6 +41,8 @@ SLICE, HELD, BUCKET = 1 << 19, 2_000_000, 1_000_000
 #: A null doc_id counts as larger than all others.
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
+#: Turns a window hash into another one, for the parts of a bucket.
+_SPLIT = 0xD6E8FEB86659FD93
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[bytes | None]]]:
@@ -238,10 +240,45 @@ def repeats(docs: DataFrame, bitmaps: np.ndarray, bits: int, buckets: int, width
         return pd.DataFrame(out, columns=["doc_id", "text_hash", "stretches"])
 
     found = cut(docs.select("doc_id", "text", "text_hash").mapInArrow(lean(group), schema), "windows")
-    settled = found.where("bucket is not null").drop("stretches").groupBy("bucket").applyInPandas(settle, "doc_id long, text_hash long, stretches binary")
+    open_ = dealt(found.where("bucket is not null").drop("stretches"))
+    settled = open_.groupBy("bucket", "part").applyInPandas(settle, "doc_id long, text_hash long, stretches binary")
     return found.where("bucket is null").select("doc_id", "text_hash", "stretches").unionByName(settled)
 
 
+def dealt(found: DataFrame) -> DataFrame:
+    """Add part: buckets of many windows, as all windows around one common phrase are, are dealt out by window hash.
+
+    All of a bucket or nothing is, so equal windows still meet.
+    """
+    size = found.groupBy("bucket").agg(F.sum(F.octet_length("hashes") / 8).alias("_n")).where(F.col("_n") > 2 * BUCKET)
+    hot = cut(size.select("bucket", F.ceil(F.col("_n") / BUCKET).cast("int").alias("parts")), "hot")
+    n = hot.count()
+    whole = found.withColumn("part", F.lit(0))
+    if not n:
+        return whole
+    names = ["bucket", "doc_id", "text_hash", "place", "n", "anchor", "hashes", "part"]
+    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int32()]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                length = np.frombuffer(r["n"], "<i4").astype(np.int64)
+                start, anchor, h = np.frombuffer(r["place"], "<i4"), np.frombuffer(r["anchor"], "<u8"), np.frombuffer(r["hashes"], "<u8")
+                place = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(len(h))
+                own = (mixed(h ^ _U(_SPLIT)) % _U(r["parts"])).astype(np.int64)
+                anchor = np.repeat(anchor, length)
+                for k in np.unique(own):
+                    at = np.flatnonzero(own == k)
+                    rows.append((r["bucket"], r["doc_id"], r["text_hash"], place[at].astype("<i4").tobytes(), np.ones(len(at), "<i4").tobytes(), anchor[at].tobytes(), h[at].tobytes(), int(k)))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    few = light(hot, n)
+    divided = found.join(few, "bucket").mapInArrow(lean(split), "bucket int, doc_id long, text_hash long, place binary, n binary, anchor binary, hashes binary, part int")
+    return whole.join(few, "bucket", "left_anti").select(*names).unionByName(divided)
+
+
 def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS) -> DataFrame:
     """Remove from every text of ``docs`` (doc_id, text) the words of repeated windows.
 

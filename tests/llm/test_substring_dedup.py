@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +37,30 @@ def test_odd_rows(spark):
     assert run(docs) == expected(docs)
     assert run(docs, width=7) == expected(docs, 7)
     assert run(docs.where("false")) == []
+
+
+def test_hot_anchors_are_dealt_out(spark, monkeypatch):
+    """Many distinct windows around one phrase: their bucket is split, and nothing is lost or found twice."""
+    monkeypatch.setattr(substring_dedup, "BUCKET", 40)
+    rnd = random.Random(4)
+    middle = "one phrase that all share".split()
+    own = [[f"w{rnd.randrange(10**6)}" for _ in range(120)] for _ in range(30)]
+    texts = [" ".join([*w[:60], *middle, *w[60:]]) for w in own]
+    texts += [" ".join([*w[:70], *middle, *w[70:]]) for w in own[:5]] + [" ".join([*own[k][20:60], *middle, *own[k][60:100]]) for k in range(0, 30, 3)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.dedup(docs).collect()}
+    assert got == brute_removed(texts)
+    assert sum(n for _, n, _ in got.values()) > 500
+
+
+def brute_removed(texts, width=50):
+    first = {}
+    words = [t.split() for t in texts]
+    for k, w in enumerate(words):
+        for i in range(len(w) - width + 1):
+            first.setdefault(tuple(w[i : i + width]), k)
+    out = {}
+    for k, w in enumerate(words):
+        gone = {p for i in range(len(w) - width + 1) if first[tuple(w[i : i + width])] < k for p in range(i, i + width)}
+        out[k] = (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+    return out
