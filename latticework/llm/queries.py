@@ -91,7 +91,8 @@ h as (select page_id, regexp_extract(b, '^([^/]*)', 1) as h, b from b),
 p as (select page_id, translate(h, '{UPPER}', '{UPPER.lower()}') as host, substr(b, length(h) + 1) as path from h),
 l as (select unnest({[u[:-1] for u in LISTED]!r}) as l),
 r as (select *, case when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/' when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/' when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule from p),
-hit as (select distinct page_id, l from r join l on (host = l or ends_with(host, '.' || l)) and starts_with(path, '/') where rule is null)
+c as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') as bare from r where rule is null),
+hit as (select distinct page_id, l from c join l on (bare = l or ends_with(bare, '.' || l)) and starts_with(path, '/'))
 select page_id, host, path, rule, l || '/' as listed, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null or l is not null then 'block' else 'allow' end as verdict from r left join hit using (page_id)""",
     "op6_near_duplicates": f"""
 with recursive d as (select doc_id, {_WORDS.format(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} as w from documents),

@@ -2,10 +2,12 @@
 
 Listed URLs are canonical: host and path, lower-case host, no scheme, query or
 fragment; an entry also covers the host's subdomains and all longer paths. A
-page's candidates are its host suffixes with its path prefixes. Every listed URL
-sets a few bits in one 64-bit block; a page whose candidates miss the filter is
-done without any join on URLs, and the possible hits go to an exact hash join
-with the list, which removes the false positives. All of it is JVM expressions.
+page's candidates are its host suffixes with its path prefixes; user names, ports
+and a dot at the end of the host are left out of them. Every listed URL sets a few
+bits in one 64-bit block of a filter of bounded size, which is a constant of the
+plan: candidates that miss it are dropped where they are made. The possible hits,
+each once, go to an exact hash join with the list, which removes the false
+positives. All of it is JVM expressions.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, small
+from .common import ascii_lower, cut, fresh, light
 
 #: (action, host, path) as agreed; the longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Bits set for an entry, blocks per entry.
 BITS, BLOCKS_PER_ENTRY = 4, 1 / 4
-#: Filter blocks that are broadcast; a longer list is joined by a shuffle on the block.
-BROADCAST_BLOCKS = 1 << 19
+#: Filter blocks at most (8 MB): a list of many more than four times as many entries lets more pass, and the exact join more to do.
+MOST_BLOCKS = 1 << 20
 
 
 def host_path(url: Column | str) -> tuple[Column, Column]:
@@ -43,14 +45,40 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
     return rule, action
 
 
+def canonical_host(host: Column) -> Column:
+    """A host as lists name it: without user name, port and the dot of the root."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(?::[0-9]*)?$", "")
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
 
 
-def _mask(key: Column) -> Column:
+def _bits(key: Column) -> list[Column]:
+    """The bits of its block that a key sets."""
     other = F.xxhash64(key, F.lit("bits"))
-    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", other, F.lit(6 * i)).bitwiseAND(F.lit(63)).cast("int")) for i in range(BITS)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return [F.call_function("shiftright", other, F.lit(6 * i)).bitwiseAND(F.lit(63)).cast("int") for i in range(BITS)]
+
+
+def bloom(listed: DataFrame, blocks: int) -> bytes:
+    """The filter of the entries (url), eight bytes a block."""
+    mask = reduce(lambda a, b: a.bitwiseOR(b), (F.call_function("shiftleft", F.lit(1).cast("long"), b) for b in _bits(F.col("url"))))
+    out = bytearray(8 * blocks)
+    # at most MOST_BLOCKS rows of two numbers
+    for r in listed.groupBy(_block(F.col("url"), blocks).alias("block")).agg(F.bit_or(mask).alias("word")).collect():
+        out[8 * r["block"] : 8 * r["block"] + 8] = (r["word"] % (1 << 64)).to_bytes(8, "little")
+    return bytes(out)
+
+
+def may_contain(filled: bytes, key: Column) -> Column:
+    """Whether the filter has all the bits of a key."""
+    words, start = F.lit(filled), 8 * _block(key, len(filled) // 8) + 1
+
+    def has(bit: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(words, (start + F.call_function("shiftright", bit, F.lit(3))).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+
+    return reduce(lambda a, b: a & b, map(has, _bits(key)))
 
 
 def candidates(host: Column, path: Column, labels_most: int, steps_most: int) -> Column:
@@ -66,17 +94,17 @@ def candidates(host: Column, path: Column, labels_most: int, steps_most: int) ->
 
 
 def listed_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
-    """(page, listed) for those of ``pages`` (host, path) that an entry of ``listed`` (url) covers."""
+    """(_page, listed) for those of ``pages`` (host, path) that an entry of ``listed`` (url) covers."""
     listed = listed.where("url is not null").select("url").distinct()
     n, labels, steps = listed.agg(F.count("*"), F.max(F.size(F.split(F.substring_index("url", "/", 1), r"\."))), F.max(F.size(F.split("url", "/")))).first()
-    blocks = 1 << max(6, int(n * BLOCKS_PER_ENTRY).bit_length())
-    filled = listed.groupBy(_block(F.col("url"), blocks).alias("_block")).agg(F.bit_or(_mask(F.col("url"))).alias("_word"))
-    each = pages.select(F.struct("host", "path").alias("_page"), F.explode(candidates(F.col("host"), F.col("path"), labels or 1, steps or 1)).alias("_url"))
-    each = each.withColumn("_block", _block(F.col("_url"), blocks)).withColumn("_mask", _mask(F.col("_url")))
-    possible = each.join(small(filled, blocks, BROADCAST_BLOCKS), "_block").where(F.col("_word").bitwiseAND(F.col("_mask")) == F.col("_mask"))
-    exact = listed.withColumnRenamed("url", "_url")
-    exact = F.broadcast(exact) if n <= BROADCAST_ROWS else exact.hint("shuffle_hash")
-    return possible.join(exact, "_url").groupBy("_page").agg(F.max_by("_url", F.struct(F.length("_url"), F.col("_url"))).alias("listed"))
+    blocks = min(MOST_BLOCKS, 1 << max(6, int(n * BLOCKS_PER_ENTRY).bit_length()))
+    filled = bloom(listed, blocks)
+    near = F.filter(candidates(canonical_host(F.col("host")), F.col("path"), labels or 1, steps or 1), lambda c: may_contain(filled, c))
+    possible = pages.select(F.struct("host", "path").alias("_page"), F.explode(near).alias("_url"))
+    # each possible hit once against the list: a page that is met often is not looked up often
+    hits = cut(possible.select("_url").distinct().join(light(listed.withColumnRenamed("url", "_url"), n, 256), "_url"), "hits")
+    found = possible.join(light(hits, hits.count(), 256), "_url")
+    return found.groupBy("_page").agg(F.max_by("_url", F.struct(F.length("_url"), F.col("_url"))).alias("listed"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -90,10 +118,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> DataFram
     host, path = host_path("url")
     found = pages.select(*[F.col(f"`{c}`") for c in named], host.alias("host"), path.alias("path"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
-    found = found.withColumn("rule", rule).withColumn("_action", action)
+    done, own_host, own_path = (fresh(pages, c) for c in ("_action", "_host", "_path"))
+    found = found.withColumn("rule", rule).withColumn(done, action)
     # pages that share host and path share their verdict: a common one is looked up once
-    open_urls = found.where("_action is null and host <> ''").groupBy("host", "path").agg(F.count("*").alias("_n"))
-    hits = listed_pages(open_urls, listed).select(F.col("_page.host").alias("_host"), F.col("_page.path").alias("_path"), "listed")
-    joined = found.join(hits, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")) & F.col("_action").isNull(), "left")
-    verdict = F.coalesce("_action", F.when(F.col("listed").isNotNull(), "block").otherwise("allow"))
+    open_urls = found.where(F.col(done).isNull() & (F.col("host") != "")).select("host", "path").distinct()
+    hits = cut(listed_pages(open_urls, listed).select(F.col("_page.host").alias(own_host), F.col("_page.path").alias(own_path), "listed"), "listed")
+    joined = found.join(light(hits, hits.count(), 512), (F.col("host") == F.col(own_host)) & (F.col("path") == F.col(own_path)) & F.col(done).isNull(), "left")
+    verdict = F.coalesce(F.col(done), F.when(F.col("listed").isNotNull(), "block").otherwise("allow"))
     return joined.select(*[F.col(f"`{c}`") for c in named], "host", "path", "rule", "listed", verdict.alias("verdict"))

@@ -247,6 +247,9 @@ def test_urls(spark):
         ("http://é.org?x/", "é.org", "", None, "allow"),
         ("http://" + "/x" * 20000, "", "/x" * 20000, None, "allow"),
         ("", "", "", None, "allow"),
+        ("https://me@sub.bad.org:8080/p", "me@sub.bad.org:8080", "/p", None, "block"),
+        ("https://bad.org./p", "bad.org.", "/p", None, "block"),
+        ("https://bad.org.:1/", "bad.org.:1", "/", None, "block"),
     ]
     pages = spark.createDataFrame([(k, u[0], "z") for k, u in enumerate(urls)] + [(0, urls[0][0], "z")], "page_id long, url string, host string")
     listed = spark.createDataFrame([("bad.org/",), ("part.info/a/b/",), ("part.info/x.html",), (None,)], "url string")
@@ -257,6 +260,17 @@ def test_urls(spark):
     assert url_filter.judge(pages.where("false"), listed).collect() == []
 
 
+def test_bloom_holds_what_is_listed(spark):
+    """No entry is missed, few others pass, and verdicts don't clash with the caller's columns."""
+    listed = spark.range(4000).select(F.format_string("h%d.info/", "id").alias("url"))
+    filled = url_filter.bloom(listed, 1024)
+    kept = spark.range(8000).select("id", url_filter.may_contain(filled, F.format_string("h%d.info/", "id")).alias("hit")).where("hit").collect()
+    assert {r["id"] for r in kept} >= set(range(4000)) and len(kept) < 4400
+    pages = spark.createDataFrame([(1, "http://h1.info/", "a", "b", "c")], "page_id long, url string, _action string, _host string, _PATH string")
+    got = url_filter.judge(pages, listed).first()
+    assert (got["_action"], got["_host"], got["_PATH"], got["verdict"]) == ("a", "b", "c", "block")
+
+
 def test_bloom_is_only_a_prefilter(spark, monkeypatch):
     """With one bit set for an entry and few blocks most pages are possible hits; verdicts stay exact."""
     pages = spark.createDataFrame([(k, f"http://h{k}.info/p") for k in range(500)], "page_id long, url string")
