@@ -55,12 +55,21 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks for."""
+    """Documents as often as their source's target weight asks for.
+
+    Null, empty and wordless texts are asked for by no target and go; a null
+    source is a source of its own; equal rows are taken each for itself; an empty
+    table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of at most 2048 tokens."""
+    """Token pieces and their places in sequences of at most 2048 tokens.
+
+    A null or empty text is one end token; equal rows, such as the copies of the
+    mix, are packed each for itself; an empty table gives none.
+    """
     return packing.pack(docs)
 
 
