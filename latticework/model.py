@@ -82,6 +82,7 @@ class Dataset:
     coordinates: dict[str, DataFrame] = field(default_factory=dict)
     roles: dict[str, str] = field(default_factory=dict)
     labels: dict[str, DataFrame] = field(default_factory=dict)
+    distortions: dict[str, dict] = field(default_factory=dict)
     time_axis: Any = None
     history: tuple[dict, ...] = ()
 
@@ -311,9 +312,57 @@ def layer_view(x: Dataset, layer: int | str) -> Dataset:
     return subset(x, layers=[layer])
 
 
-def set_chart(x: Dataset, coordinates: DataFrame, name: str = "chart") -> Dataset:
-    """Add planar coordinates (ord, x, y); they are never metric, and change the base's identity."""
-    return replace(x, coordinates={**x.coordinates, name: coordinates}, roles={**x.roles, name: "chart"}).noted("set_chart", chart=name)
+def set_chart(x: Dataset, coordinates: DataFrame, name: str = "chart", distortion: dict | None = None) -> Dataset:
+    """Add planar coordinates (ord, x, y); they are never metric, and change the base's identity. What is known of their distortion goes with them."""
+    known = {**x.distortions, name: dict(distortion)} if distortion is not None else x.distortions
+    return replace(x, coordinates={**x.coordinates, name: coordinates}, roles={**x.roles, name: "chart"}, distortions=known).noted("set_chart", chart=name, distortion_recorded=distortion is not None)
+
+
+def chart_distortion(x: Dataset, chart: str | None = None) -> dict | None:
+    """What was recorded of a chart's distortion, None if nothing; the only chart if none is named."""
+    charts = [k for k, v in x.roles.items() if v == "chart" and k in x.coordinates]
+    if chart is None and len(charts) != 1 or chart is not None and chart not in charts:
+        raise KeyError(f"charts are {charts}")
+    return x.distortions.get(chart or charts[0])
+
+
+#: Fields of older containers and what they are called now; kinds of base likewise.
+LEGACY_FIELDS = {"domain": "base", "domain.space": "base.coordinate_space", "maps": "layers", "maps.map_id": "layers.layer_id", "provenance": "history", "measures.spatial_semantics": "measures.support_behavior", "measures.units": "measures.unit", "measures.default_aggregation": "measures.aggregation"}
+LEGACY_KINDS = {"points": "point", "surface": "surface", "volume": "volume", "regions": "region", "grayordinates": "composite"}
+
+
+def migrate_legacy(spark: SparkSession, container: dict, strict: bool = True) -> Dataset | dict:
+    """An older container (domain, values, maps, measures, labels, provenance) as a dataset.
+
+    domain has type, space, elements (rows by column name) and, as its type has
+    them, faces, affine and dim; values is a table of elements by maps. What
+    cannot be taken over gives a report: status, type, issues and the field map.
+    """
+    issues = [f"missing {k}" for k in ("domain", "values", "maps", "measures", "labels", "provenance") if k not in container]
+    domain = container.get("domain") if isinstance(container.get("domain"), dict) else {}
+    report = lambda found: {"status": "reconstruction_required", "type": domain.get("type"), "issues": found, "field_map": dict(LEGACY_FIELDS)}
+    if issues or domain.get("type") not in LEGACY_KINDS:
+        return report(issues or ["the type of the domain is unknown"])
+    try:
+        rows = [{"ord": n, **e} for n, e in enumerate(domain["elements"])]
+        known = [c for c in ("ord", *ELEMENT_COLUMNS) if any(c in r for r in rows)]
+        kinds = {"ord": "long", **ELEMENT_COLUMNS}
+        typed = [tuple(float(r[c]) if r.get(c) is not None and kinds[c] == "double" else r.get(c) for c in known) for r in rows]
+        elements = spark.createDataFrame(typed, ", ".join(f"{c} {kinds[c]}" for c in known))
+        meant = {m["measure_id"]: Measure(m["measure_id"], m.get("name", m["measure_id"]), m.get("units", "unknown"), m.get("value_type", "continuous"), m.get("spatial_semantics", "unknown"), m.get("missing_policy", "preserve"), m.get("default_aggregation")) for m in container["measures"]}
+        maps = container["maps"]
+        layers = spark.createDataFrame([(n, m["map_id"], m.get("name", m["map_id"]), m["measure_id"]) for n, m in enumerate(maps)], "layer_ord int, layer_id string, name string, measure_id string")
+        space = Space(**{k: v for k, v in (domain.get("space") or {}).items() if k in Space.__dataclass_fields__})
+        more = {"faces": spark.createDataFrame([(n, *map(int, f)) for n, f in enumerate(domain["faces"])], "face_id long, v1 long, v2 long, v3 long")} if domain.get("faces") else {}
+        if domain.get("affine"):
+            more |= {"affine": tuple(tuple(map(float, r)) for r in domain["affine"]), "dim": tuple(domain["dim"])}
+        labels = {k: spark.createDataFrame([(n, str(v)) for n, v in enumerate(own)], "ord long, label string") for k, own in (container["labels"] or {}).items()}
+        found = make(spark, LEGACY_KINDS[domain["type"]], elements, container["values"], [m.get("name", m["map_id"]) for m in maps], [meant[m["measure_id"]] for m in maps], layers, space=space, labels=labels, **more)
+    except (KeyError, TypeError, ValueError) as e:
+        return report([f"{type(e).__name__}: {e}"])
+    if bad := [r["check"] for r in validate(found, "strict" if strict else "basic").where("violations > 0").collect()]:
+        return report(bad)
+    return replace(found, history=({"operation": "source", "provenance": container["provenance"]},)).noted("migrate_legacy", type=domain["type"])
 
 
 def value_blocks(x: Dataset, rows: int = 65_536, layers: Sequence[int | str] | None = None):

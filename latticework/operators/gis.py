@@ -149,7 +149,7 @@ def hotspots(v: DataFrame, spatial: DataFrame, bandwidth: float = 1.0, temporal_
     v (ord, time_ord, time, value); spatial (i, j, distance) within reach,
     without the elements themselves.
     """
-    reach = cutoff if cutoff is not None else 5.0
+    reach = cutoff if cutoff is not None else 3.0
     own = v.select(F.col("ord").alias("i")).distinct().select("i", F.col("i").alias("j"), F.lit(0.0).alias("distance"))
     near = spatial.select("i", "j", "distance").unionByName(own).withColumn("s", F.col("distance") / bandwidth).where(F.col("s") <= reach)
     times = v.select(F.col("time_ord").alias("t1"), F.col("time").alias("x1")).distinct()
@@ -184,8 +184,10 @@ def hotspot_features(z: DataFrame, unit: str = "unit_id", threshold: float = 1.9
 def regionalise(features: DataFrame, edges: DataFrame, layers: list[str], n_regions: int, min_elements: int = 1) -> DataFrame:
     """(ord, region): a minimum spanning tree on feature distance, cut at its longest edges that leave large enough sides.
 
-    The features of the ends are joined to the edges; the tree and its cuts run
-    on the driver over a checked number of edges.
+    A cut is taken only if the asked number of regions can still be reached; if
+    the tree cannot give that many of that size at all, that is an error. The
+    features of the ends are joined to the edges; the tree and its cuts run on
+    the driver over a checked number of edges.
     """
     met = edges.where("i < j").select("i", "j")
     for end in "ij":
@@ -202,35 +204,73 @@ def regionalise(features: DataFrame, edges: DataFrame, layers: list[str], n_regi
         return x
 
     tree = []
-    for i, j, d in zip(t["i"], t["j"], t["d"], strict=True):
+    for i, j, d in zip(t["i"].tolist(), t["j"].tolist(), t["d"].tolist(), strict=True):
         a, b = find(i), find(j)
         if a != b:
             root[max(a, b)] = min(a, b)
             tree.append((d, i, j))
-    kept, parts = set(range(len(tree))), len(nodes) - len(tree)
-    for k in sorted(range(len(tree)), key=lambda k: (-tree[k][0], tree[k][1:])):
-        if parts >= n_regions:
-            break
-        near: dict[int, list[int]] = {}
-        for m in kept - {k}:
-            near.setdefault(tree[m][1], []).append(tree[m][2])
-            near.setdefault(tree[m][2], []).append(tree[m][1])
-        if all(_size(near, end, min_elements) >= min_elements for end in tree[k][1:]):
-            kept.discard(k)
-            parts += 1
+    kept = _cut_tree(nodes, tree, n_regions, min_elements)
     spark = features.sparkSession
-    left = spark.createDataFrame([tree[k][1:] for k in sorted(kept)], "i long, j long")
+    left = spark.createDataFrame([(i, j) for _, i, j in kept], "i long, j long")
     return components(left, features.select("ord")).select("ord", F.col("component").alias("region"))
 
 
-def _size(near: dict[int, list[int]], start: int, enough: int) -> int:
-    seen, stack = {start}, [start]
-    while stack and len(seen) < enough:
-        for v in near.get(stack.pop(), []):
-            if v not in seen:
-                seen.add(v)
-                stack.append(v)
-    return len(seen)
+def _cut_tree(nodes: list[int], tree: list[tuple[float, int, int]], n_regions: int, least: int) -> list[tuple[float, int, int]]:
+    """The edges that stay of a forest (length, i, j) cut into ``n_regions`` parts of at least ``least`` nodes."""
+    near: dict[int, list[int]] = {o: [] for o in nodes}
+    for _, i, j in tree:
+        near[i].append(j)
+        near[j].append(i)
+    # parents before children, from the least node of each component
+    above: dict[int, int | None] = {}
+    order: list[int] = []
+    for start in nodes:
+        if start not in above:
+            above[start] = None
+            stack = [start]
+            while stack:
+                at = stack.pop()
+                order.append(at)
+                for v in near[at]:
+                    if v not in above:
+                        above[v] = at
+                        stack.append(v)
+    cuts: set[int] = set()
+
+    def parts(extra: int | None = None) -> int:
+        """How many parts of the least size the forest can give, all cuts so far taken; -1 if a part is too small already."""
+        size, made = dict.fromkeys(nodes, 1), 0
+        for v in reversed(order):
+            up = above[v]
+            if up is None or v in cuts or v == extra:
+                # what is below a cut or a root is a part by itself, or goes with the last one cut below it
+                if size[v] < least and not below.get(v):
+                    return -1
+                made += size[v] >= least
+                below[v] = 0
+            elif size[v] >= least:
+                made += 1
+                below[up] = below.get(up, 0) + 1
+            else:
+                size[up] += size[v]
+                below[up] = below.get(up, 0) + below.get(v, 0)
+        return made
+
+    below: dict[int, int] = {}
+    now = sum(above[o] is None for o in nodes)
+    if parts() < n_regions:
+        raise ValueError(f"the tree cannot be cut into {n_regions} regions of at least {least} elements")
+    for _, i, j in sorted(tree, key=lambda e: (-e[0], e[1:])):
+        if now >= n_regions:
+            break
+        child = j if above[j] == i else i
+        below = {}
+        if parts(child) >= n_regions:
+            cuts.add(child)
+            now += 1
+    if now > n_regions:
+        raise ValueError(f"the graph has {now} components; {n_regions} regions were asked for")
+    return [e for e in tree if (e[2] if above[e[2]] == e[1] else e[1]) not in cuts]
 
 
 def freeze(membership: DataFrame, training: DataFrame) -> dict:

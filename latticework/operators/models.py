@@ -143,8 +143,40 @@ def fit_variogram(bins: DataFrame, model: str = "spherical", start: tuple[float,
     return {"model": model, "nugget": float(best[0]), "sill": float(best[1]), "range": float(best[2]), "loss": loss(best)}
 
 
-def kriging(values: DataFrame, at: DataFrame, targets: DataFrame, fit: dict[str, float], k: int = 50, predictors: list[str] | None = None, dims: str = "xyz") -> DataFrame:
-    """(ord, prediction, variance) at targets (ord, dims, predictors) from the k nearest values; universal with predictors."""
+#: Largest condition number of a local covariance, and how far below zero an eigenvalue or a variance may lie, relative to the scale.
+MOST_CONDITION, BELOW_ZERO = 1e12, 1e-10
+
+
+def kriging_system(gaps: np.ndarray, to: np.ndarray, drift: np.ndarray, goal: np.ndarray, model: list) -> tuple[np.ndarray, float]:
+    """Weights and variance of one target; a covariance that is no such, an ill-conditioned or singular system, or a negative variance is an error."""
+    total = model[1] + model[2]
+    own, cross = total - semivariance(model[0], gaps, *model[1:]), total - semivariance(model[0], to, *model[1:])
+    values = np.linalg.eigvalsh((own + own.T) / 2)
+    slack = BELOW_ZERO * max(1.0, float(np.abs(values).max()))
+    if values.min() < -slack:
+        raise ValueError(f"the local covariance is not positive semidefinite: least eigenvalue {values.min():.6g}")
+    if values.min() <= slack or values.max() / values.min() > MOST_CONDITION:
+        raise ValueError(f"the condition of the local covariance exceeds {MOST_CONDITION:g}")
+    n, m = len(own), drift.shape[1]
+    system = np.zeros((n + m, n + m))
+    system[:n, :n], system[:n, n:], system[n:, :n] = own, drift, drift.T
+    try:
+        w = np.linalg.solve(system, np.concatenate([cross, goal]))
+    except np.linalg.LinAlgError:
+        raise ValueError("a local kriging system is singular") from None
+    variance = float(total - w[:n] @ cross - w[n:] @ goal)
+    if not math.isfinite(variance) or variance < -BELOW_ZERO * max(1.0, total):
+        raise ValueError(f"the prediction variance is {variance:.6g}")
+    return w[:n], max(0.0, variance)
+
+
+def kriging(values: DataFrame, at: DataFrame, targets: DataFrame, fit: dict[str, float], k: int = 50, predictors: list[str] | None = None, dims: str = "xyz", weights: bool = False) -> DataFrame:
+    """(ord, prediction, variance) at targets (ord, dims, predictors) from the k nearest values; universal with predictors.
+
+    With ``weights`` each row has those of its observations: array of (j, w).
+    """
+    if fit["model"] not in ("spherical", "exponential", "gaussian"):
+        raise ValueError(f"unknown model {fit['model']!r}")
     xs = predictors or []
     near = nearest(targets, at, k, dims, same=False)
     data = values.join(at.select("ord", *dims, *xs), "ord").select(F.col("ord").alias("j"), F.col("value").alias("v"), *[F.col(c).alias(f"c{c}") for c in dims], *[F.col(x).alias(f"p{n}") for n, x in enumerate(xs)])
@@ -154,18 +186,54 @@ def kriging(values: DataFrame, at: DataFrame, targets: DataFrame, fit: dict[str,
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("j")
         c = part[[f"c{x}" for x in dims]].to_numpy()
-        n = len(part)
         gaps = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1))
-        drift = np.column_stack([np.ones(n), *[part[f"p{m}"] for m in range(len(xs))]])
-        m = drift.shape[1]
-        system = np.zeros((n + m, n + m))
-        system[:n, :n] = semivariance(model[0], gaps, *model[1:])
-        system[:n, n:], system[n:, :n] = drift, drift.T
-        right = np.concatenate([semivariance(model[0], part["distance"].to_numpy(), *model[1:]), [1.0], part[[f"t{q}" for q in range(len(xs))]].iloc[0].to_numpy(dtype=float)])
-        w = np.linalg.lstsq(system, right, rcond=1e-12)[0]
-        return pd.DataFrame({"ord": [int(part["i"].iloc[0])], "prediction": [float(w[:n] @ part["v"].to_numpy())], "variance": [max(0.0, float(w @ right))]})
+        drift = np.column_stack([np.ones(len(part)), *[part[f"p{m}"] for m in range(len(xs))]])
+        wanted = np.concatenate([[1.0], part[[f"t{q}" for q in range(len(xs))]].iloc[0].to_numpy(dtype=float)])
+        w, variance = kriging_system(gaps, part["distance"].to_numpy(), drift, wanted, model)
+        out = {"ord": [int(part["i"].iloc[0])], "prediction": [float(w @ part["v"].to_numpy())], "variance": [variance]}
+        if weights:
+            out["weights"] = [[{"j": int(j), "w": float(x)} for j, x in zip(part["j"], w, strict=True)]]
+        return pd.DataFrame(out)
+
+    schema = "ord long, prediction double, variance double" + ", weights array<struct<j:long,w:double>>" * weights
+    return near.join(data, "j").join(goal, "i").groupBy("i").applyInPandas(solve, schema)
+
 
-    return near.join(data, "j").join(goal, "i").groupBy("i").applyInPandas(solve, "ord long, prediction double, variance double")
+def kriging_uncertainty(values: DataFrame, at: DataFrame, targets: DataFrame, fit: dict[str, float], k: int = 50, covariance: DataFrame | None = None, fits: list[dict[str, float]] | None = None, support_variance: DataFrame | None = None, level: float = 0.95, predictors: list[str] | None = None, dims: str = "xyz") -> DataFrame:
+    """Predictions with the parts of their variance, taken as independent, and an interval.
+
+    process: of kriging itself; measurement: w' C w with the covariance (i, j,
+    value) of the values, both triangles given; parameter: of the predictions
+    under each of ``fits``; support: given by target (ord, variance).
+    """
+    base = cut(kriging(values, at, targets, fit, k, predictors, dims, weights=True), "kriging")
+    out = base.select("ord", "prediction", F.col("variance").alias("process_variance"))
+    zero = F.lit(0.0)
+    if covariance is not None:
+        w = base.select("ord", F.inline("weights"))
+        left = w.join(covariance.select(F.col("i").alias("j"), F.col("j").alias("_k"), F.col("value").alias("_c")), "j").groupBy("ord", F.col("_k").alias("j")).agg(F.sum(F.col("w") * F.col("_c")).alias("_l"))
+        own = left.join(w, ["ord", "j"]).groupBy("ord").agg(F.sum(F.col("_l") * F.col("w")).alias("measurement_variance"))
+        out = out.join(own, "ord", "left").withColumn("measurement_variance", F.coalesce("measurement_variance", zero))
+    else:
+        out = out.withColumn("measurement_variance", zero)
+    if fits:
+        drawn = None
+        for f in fits:
+            one = kriging(values, at, targets, f, k, predictors, dims).select("ord", "prediction")
+            drawn = one if drawn is None else drawn.unionByName(one)
+        out = out.join(drawn.groupBy("ord").agg(F.coalesce(F.var_samp("prediction"), zero).alias("parameter_variance")), "ord")
+    else:
+        out = out.withColumn("parameter_variance", zero)
+    if support_variance is not None:
+        if support_variance.where("variance is null or variance < 0 or isnan(variance)").take(1):
+            raise ValueError("support variances must not be negative")
+        out = out.join(support_variance.select("ord", F.col("variance").alias("support_variance")), "ord")
+    else:
+        out = out.withColumn("support_variance", zero)
+    total = sum((F.col(f"{p}_variance") for p in ("measurement", "parameter", "support")), F.col("process_variance"))
+    z = numeric.normal_quantile(0.5 + level / 2)
+    out = out.withColumn("std_error", F.sqrt(total))
+    return out.withColumn("low", F.col("prediction") - z * F.col("std_error")).withColumn("high", F.col("prediction") + z * F.col("std_error"))
 
 
 def cross_variograms(table: DataFrame, at: DataFrame, layers: list[str], most: float, breaks: int = 10, dims: str = "xyz") -> DataFrame:
@@ -258,22 +326,31 @@ def logdet(edges: DataFrame, n: int, rho: float, exact_up_to: int = 200, order:
         w = np.zeros((n, n))
         w[t["i"], t["j"]] = t["w"]
         return float(np.log(np.abs(1 - rho * np.linalg.eigvals(w))).sum().real)
+    return series_logdet(traces(edges, order, probes, seed), rho)
+
+
+def series_logdet(found: list[float], rho: float) -> float:
+    """The log determinant that the traces of W, W^2, ... give for one rho."""
+    return -sum(rho**k / k * t for k, t in enumerate(found, 1))
+
+
+def traces(edges: DataFrame, order: int = 20, probes: int = 30, seed: int = 3401) -> list[float]:
+    """Traces of W, W^2, ..., once for all rho: the first two exact, the others on random signs, one join for each."""
     sign = lambda p: F.when(F.pmod(F.xxhash64(F.lit(seed + p), "ord"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     base = cut(edges.select(F.col("i").alias("ord")).unionByName(edges.select(F.col("j").alias("ord"))).distinct().select("ord", *[sign(p).alias(f"z{p}") for p in range(probes)]), "probes")
-    v, total, power = base.select("ord", *[F.col(f"z{p}").alias(f"v{p}") for p in range(probes)]), 0.0, 1.0
+    v, out = base.select("ord", *[F.col(f"z{p}").alias(f"v{p}") for p in range(probes)]), []
     for k in range(1, order + 1):
         moved = edges.join(v.withColumnRenamed("ord", "j"), "j").groupBy(F.col("i").alias("ord")).agg(*[F.sum(F.col("w") * F.col(f"v{p}")).alias(f"v{p}") for p in range(probes)])
         v = cut(moved, "series")
-        power *= rho
         if k == 1:
-            trace = probes * (edges.where("i = j").agg(F.sum("w")).first()[0] or 0.0)
+            out.append(edges.where("i = j").agg(F.sum("w")).first()[0] or 0.0)
         elif k == 2:
             back = edges.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("w").alias("b"))
-            trace = probes * (edges.join(back, ["i", "j"]).agg(F.sum(F.col("w") * F.col("b"))).first()[0] or 0.0)
+            out.append(edges.join(back, ["i", "j"]).agg(F.sum(F.col("w") * F.col("b"))).first()[0] or 0.0)
         else:
-            trace = v.join(base, "ord").agg(sum((F.sum(F.col(f"v{p}") * F.col(f"z{p}")) for p in range(1, probes)), F.sum(F.col("v0") * F.col("z0")))).first()[0] or 0.0
-        total -= power / k * trace / probes
-    return total
+            total = v.join(base, "ord").agg(sum((F.sum(F.col(f"v{p}") * F.col(f"z{p}")) for p in range(1, probes)), F.sum(F.col("v0") * F.col("z0")))).first()[0] or 0.0
+            out.append(total / probes)
+    return out
 
 
 def autoregression(table: DataFrame, edges: DataFrame, response: str, predictors: list[str], model: str = "sar") -> DataFrame:
@@ -289,7 +366,7 @@ def autoregression(table: DataFrame, edges: DataFrame, response: str, predictors
     return _concentrated(table, w, y, x, predictors, model, det, low, high)
 
 
-def autoregression_iterative(table: DataFrame, edges: DataFrame, response: str, predictors: list[str], model: str = "sar", interval: tuple[float, float] = (-0.99, 0.99), grid: int = 21) -> DataFrame:
+def autoregression_iterative(table: DataFrame, edges: DataFrame, response: str, predictors: list[str], model: str = "sar", interval: tuple[float, float] = (-0.99, 0.99), grid: int = 21, exact_up_to: int = 200) -> DataFrame:
     """SAR with the determinant by trace series: all sums come from one pass over joins, the search is on their moments."""
     n = table.count()
     lagged = lag(table.select("ord", F.col(response).alias("value")), edges).withColumnRenamed("lag", "_wy")
@@ -305,7 +382,11 @@ def autoregression_iterative(table: DataFrame, edges: DataFrame, response: str,
     m = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))], dtype=float)
     at = {c: k for k, c in enumerate(cols)}
     rhos = np.linspace(*interval, grid)
-    dets = [logdet(edges, n, float(r)) for r in rhos]
+    if n <= exact_up_to:
+        dets = [logdet(edges, n, float(r), exact_up_to) for r in rhos]
+    else:
+        series = traces(edges)
+        dets = [series_logdet(series, float(r)) for r in rhos]
 
     def fit(rho: float) -> tuple[np.ndarray, float]:
         y = np.zeros(len(cols))

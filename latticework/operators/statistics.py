@@ -24,8 +24,8 @@ from latticework.storage import collected
 from .graph import csr, dot, shells
 from .topology import styled, within
 
-#: Draws at most.
-MOST_DRAWS = 99_999
+#: Draws at most; pairs of a variogram without a largest distance.
+MOST_DRAWS, MOST_PAIRS = 99_999, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -126,6 +126,40 @@ def correlogram(values: DataFrame, edges: DataFrame, lags: int = 10) -> DataFram
     return sums.join(F.broadcast(stats), F.lit(True)).select("order", (F.col("n") / F.col("s0") * F.col("top") / F.col("m2")).alias("statistic"), "pairs")
 
 
+def correlogram_test(values: DataFrame, edges: DataFrame, lags: int = 10, control: Permutations = Permutations(), missing: str = "fail") -> DataFrame:  # noqa: B008
+    """``correlogram`` with expected, p_value and p_adjusted (over the orders, by the control's method): values are shuffled over the elements.
+
+    With ``missing`` = omit, elements without a value are left out before the
+    steps are counted. The shells are sent to the tasks, their number checked.
+    """
+    own, kept = retained(values, edges, missing, "W")
+    shell = shells(kept, lags).withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("order", "i")))
+    order = ranked(own.withColumnRenamed("ord", "old"), "old")
+    new = order.select("old", F.col("ord").alias("new"))
+    moved = shell.join(new.select(F.col("old").alias("i"), F.col("new").alias("ni")), "i").join(new.select(F.col("old").alias("j"), F.col("new").alias("nj")), "j").select("order", F.col("ni").alias("i"), F.col("nj").alias("j"), "w")
+    v = collected(order.orderBy("ord").select("value"))["value"].to_numpy()
+    counted = sorted((r["order"], r["n"]) for r in moved.groupBy("order").agg(F.count("*").alias("n")).collect())
+    shells_ = [csr(moved.where(F.col("order") == o), len(v)) for o, _ in counted]
+    spark = values.sparkSession
+    sent = spark.sparkContext.broadcast((v, shells_))
+
+    def all_(x: np.ndarray, own: list[tuple]) -> list[float]:
+        z = x - x.mean()
+        return [float(len(x) / w[2].sum() * (z @ dot(w, z)) / (z * z).sum()) for w in own]
+
+    found = draws(spark, control.draws, control.seed, lambda d, rng: list(enumerate(all_(rng.permutation(sent.value[0]), sent.value[1]))), "place int, statistic double").toPandas()
+    observed, expected = all_(v, shells_), -1 / (len(v) - 1)
+    null = [found.loc[found["place"] == k, "statistic"].to_numpy() for k in range(len(observed))]
+    p = np.array([numeric.permutation_p(o, n, expected, control.alternative) for o, n in zip(observed, null, strict=True)])
+    if control.adjust == "maxT":
+        most = np.max([np.abs(n - expected) for n in null], axis=0)
+        adjusted = [(int((most >= abs(o - expected)).sum()) + 1) / (len(most) + 1) for o in observed]
+    else:
+        adjusted = p if control.adjust == "none" else numeric.adjust(p, control.adjust)
+    rows = [(o, s, n, expected, float(a), float(b)) for (o, n), s, a, b in zip(counted, observed, p, adjusted, strict=True)]
+    return spark.createDataFrame(rows, "order int, statistic double, pairs long, expected double, p_value double, p_adjusted double")
+
+
 def variogram_pairs(values: DataFrame, at: DataFrame, most: float, dims: str = "xyz") -> DataFrame:
     """(distance, gamma) of pairs i < j within ``most``: a range join."""
     near = within(at, at, most, dims).where("i < j")
@@ -146,14 +180,17 @@ def binned(pairs: DataFrame, breaks: int | list[float] = 10, most: float | None
     return inside.groupBy(bin_.alias("bin")).agg(F.avg("distance").alias("distance"), F.avg("gamma").alias("gamma"), F.count("*").alias("n"))
 
 
-def variogram(x: Dataset, layer: int | str = 0, breaks: int | list[float] = 10, most: float | None = None) -> DataFrame:
+def variogram(x: Dataset, layer: int | str = 0, breaks: int | list[float] = 10, most: float | None = None, pairs: int = MOST_PAIRS) -> DataFrame:
+    """Binned semivariances: of all pairs, whose number is checked, or of those within ``most``, which is a range join."""
     dims = "xyz" if x.elements.where("z is not null").take(1) else "xy"
     at = x.elements.select("ord", *dims)
+    reach = most
     if most is None:
-        ends = at.agg(*[F.max(c) - F.min(c) for c in dims]).first()
-        most_join = max(sum(v * v for v in ends) ** 0.5, 1e-300)
-    pairs = variogram_pairs(x.layer(layer), at, most if most is not None else most_join, dims)
-    return binned(pairs, breaks, most)
+        n, *ends = at.agg(F.count("*"), *[F.max(c) - F.min(c) for c in dims]).first()
+        if (wanted := n * (n - 1) // 2) > pairs:
+            raise ValueError(f"{wanted} pairs; the limit is {pairs}: give a largest distance")
+        reach = max(sum(v * v for v in ends if v is not None) ** 0.5, 1e-300)
+    return binned(variogram_pairs(x.layer(layer), at, reach, dims), breaks, most)
 
 
 def draws(spark, n: int, seed: int | None, run: Callable[[int, np.random.Generator], list[tuple]], schema: str, parts: int | None = None) -> DataFrame:  # noqa: ANN001

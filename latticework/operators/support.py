@@ -205,26 +205,44 @@ def _built(source: Dataset, weights: DataFrame, support: DataFrame | None, kind:
 def barycentric_map(source: Dataset, target: Dataset, candidates: int = 16, support: DataFrame | None = None, tolerance: float = 1e-12) -> SupportMap:
     """Each source vertex to the corners of the nearest target triangle, by the weights of its closest point.
 
-    Candidate triangles are those with the nearest centroids.
+    Exact: triangles are tried in the order of their centroids' distance, first
+    ``candidates`` of them. No other triangle can be nearer than its centroid is,
+    less the largest reach of a triangle around its centroid; vertices for which
+    that leaves a doubt try four times as many, in the end all.
     """
     from .topology import triangles
 
-    faces = cut(triangles(target), "faces")
-    centres = faces.select(F.col("face_id").alias("ord"), *[((F.col("a" + c) + F.col("b" + c) + F.col("c" + c)) / 3).alias(c) for c in "xyz"])
-    at = source.elements.select("ord", "x", "y", F.coalesce("z", F.lit(0.0)).alias("z"))
-    near = nearest(at, centres, candidates, "xyz", same=False).select(F.col("i").alias("ord"), F.col("j").alias("face_id"))
-    met = near.join(at, "ord").join(faces, "face_id")
+    faces = triangles(target)
+    centre = {c: (F.col("a" + c) + F.col("b" + c) + F.col("c" + c)) / 3 for c in "xyz"}
+    reach = F.greatest(*[F.sqrt(sum(((F.col(p + c) - centre[c]) ** 2 for c in "yz"), (F.col(p + "x") - centre["x"]) ** 2)) for p in "abc"])
+    faces = cut(faces.withColumn("reach", reach), "faces")
+    centres = faces.select(F.col("face_id").alias("ord"), *[e.alias(c) for c, e in centre.items()])
+    n, widest = faces.agg(F.count("*"), F.max("reach")).first()
     corner = [f"{p}{c}" for p in "abc" for c in "xyz"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             p = part[["x", "y", "z"]].to_numpy()
             weights, d = closest_on_triangles(p, *np.split(part[corner].to_numpy(), 3, axis=1))
-            yield pd.DataFrame({"source_ord": part["ord"], "face_id": part["face_id"], "d": d, "w1": weights[:, 0], "w2": weights[:, 1], "w3": weights[:, 2], "v1": part["v1"], "v2": part["v2"], "v3": part["v3"]})
-
-    found = met.select("ord", "face_id", "x", "y", "z", *corner, "v1", "v2", "v3").mapInPandas(run, "source_ord long, face_id long, d double, w1 double, w2 double, w3 double, v1 long, v2 long, v3 long")
-    best = found.groupBy("source_ord").agg(F.min_by(F.array(*[F.struct(F.col(f"v{k}").alias("v"), F.col(f"w{k}").alias("w")) for k in (1, 2, 3)]), F.struct("d", "face_id")).alias("e"))
-    weights = best.select("source_ord", F.explode("e").alias("e")).where(F.col("e.w") > tolerance).groupBy(F.col("e.v").alias("target_ord"), "source_ord").agg(F.sum("e.w").alias("weight"))
+            yield pd.DataFrame({"source_ord": part["ord"], "face_id": part["face_id"], "far": part["far"], "d": d, "w1": weights[:, 0], "w2": weights[:, 1], "w3": weights[:, 2], "v1": part["v1"], "v2": part["v2"], "v3": part["v3"]})
+
+    open_, settled = source.elements.select("ord", "x", "y", F.coalesce("z", F.lit(0.0)).alias("z")), None
+    while n:
+        near = nearest(open_, centres, candidates, "xyz", same=False).select(F.col("i").alias("ord"), F.col("j").alias("face_id"), F.col("distance").alias("far"))
+        met = near.join(open_, "ord").join(faces, "face_id")
+        found = met.select("ord", "face_id", "far", "x", "y", "z", *corner, "v1", "v2", "v3").mapInPandas(run, "source_ord long, face_id long, far double, d double, w1 double, w2 double, w3 double, v1 long, v2 long, v3 long")
+        best = found.groupBy("source_ord").agg(F.min_by(F.array(*[F.struct(F.col(f"v{k}").alias("v"), F.col(f"w{k}").alias("w")) for k in (1, 2, 3)]), F.struct("d", "face_id")).alias("e"), F.min("d").alias("d"), F.max("far").alias("far"))
+        sure = F.lit(candidates >= n) | (F.sqrt("d") < F.col("far") - widest)
+        best = cut(best.withColumn("sure", sure), "closest")
+        own = best.where("sure").select("source_ord", "e")
+        settled = own if settled is None else settled.unionByName(own)
+        open_ = cut(open_.join(best.where("not sure").select(F.col("source_ord").alias("ord")), "ord", "left_semi"), "open")
+        if not open_.take(1):
+            break
+        candidates *= 4
+    if settled is None:
+        raise ValueError("the target has no triangles")
+    weights = settled.select("source_ord", F.explode("e").alias("e")).where(F.col("e.w") > tolerance).groupBy(F.col("e.v").alias("target_ord"), "source_ord").agg(F.sum("e.w").alias("weight"))
     return _built(source, weights, support)
 
 

@@ -15,15 +15,37 @@ BROADCAST_ROWS = 50_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Only where the session names none and runs on one machine (tests) a temporary
+    one is set; on a cluster that is an error, as other machines would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="latticework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_known: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/latticework/{spark.sparkContext.applicationId}"
+    if path not in _known:
+        folder, fs = _files(spark, path)
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _known.add(path)
+    return path
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -31,7 +53,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     never what made it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/latticework/{tag}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,6 +75,8 @@ def collected(df: DataFrame, most: int = COLLECTED):  # noqa: ANN201
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete the tables that ``cut`` has written in the shared folder, once no result that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/latticework")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables that this application's ``cut`` has written, once no result that reads them is needed."""
+    path = run_dir(spark)
+    folder, fs = _files(spark, path)
+    fs.delete(folder, True)
+    _known.discard(path)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from latticework.functions import numeric
+from latticework import model
 from latticework.model import point
 from latticework.operators import gis, inference, models, multilayer, statistics, temporal, topology
 from latticework.operators.support import SupportMap
@@ -303,3 +304,87 @@ def test_gis(spark, grid):
     faces = gis.map_faces(s.faces, s.elements.selectExpr("ord", "x as value"))
     assert faces.count() == 32 and faces.agg({"colour": "max"}).first()[0] == 256
     assert gis.layout({"a": faces, "b": faces}, shared=True).count() == 2
+
+
+def test_regions_are_as_many_as_asked_or_an_error(spark):
+    star = spark.createDataFrame([(0, float(0)), *[(k, float(k)) for k in range(1, 5)]], "ord long, v double")
+    spokes = spark.createDataFrame([(0, k) for k in range(1, 5)], "i long, j long")
+    with pytest.raises(ValueError, match="cannot be cut"):
+        gis.regionalise(star, spokes, ["v"], 2, 2)
+    # the longest edge would leave a side too small to be cut again
+    chain = spark.createDataFrame([(k, v) for k, v in enumerate([0.0, 1.0, 2.0, 20.0, 21.0, 22.0])], "ord long, v double")
+    steps = spark.createDataFrame([(k, k + 1) for k in range(5)], "i long, j long")
+    got = gis.regionalise(chain, steps, ["v"], 3, 2).groupBy("region").count().collect()
+    assert sorted(r["count"] for r in got) == [2, 2, 2]
+    assert gis.regionalise(chain, steps, ["v"], 2, 3).groupBy("region").count().count() == 2
+
+
+@pytest.mark.parametrize("n,parts,least", [(9, 2, 2), (12, 3, 3), (14, 4, 2), (15, 5, 3)])
+def test_regions_against_every_cut(n, parts, least):
+    import itertools
+    import random
+
+    for seed in range(20):
+        rnd = random.Random(seed)
+        tree = [(rnd.random(), rnd.randrange(k), k) for k in range(1, n)]
+
+        def sizes(kept):
+            root = list(range(n))
+            for _, a, b in kept:
+                root = [root[a] if x == root[b] else x for x in root]
+            return [root.count(x) for x in set(root)]
+
+        possible = any(min(sizes([e for e in tree if e not in gone])) >= least for gone in itertools.combinations(tree, parts - 1))
+        try:
+            found = sizes(gis._cut_tree([*range(n)], tree, parts, least))
+            assert possible and len(found) == parts and min(found) >= least
+        except ValueError:
+            assert not possible
+
+
+def test_variogram_of_too_many_pairs(spark):
+    at = spark.range(2000).selectExpr("id as ord", "double(id) as x", "0.0D as y")
+    x = model.point(spark, at, spark.range(2000).selectExpr("id as ord", "double(id % 7) as v"))
+    with pytest.raises(ValueError, match="pairs"):
+        statistics.variogram(x)
+    assert statistics.variogram(x, most=3.0).agg({"n": "sum"}).first()[0] == 1999 + 1998 + 1997
+
+
+def test_trace_series_is_taken_once(spark):
+    edges = spark.createDataFrame([(k, k ^ 1, 1.0) for k in range(300)], "i long, j long, w double")
+    series = models.traces(edges, 4, 5)
+    assert series[:2] == [0.0, 300.0] and series[3] == pytest.approx(300.0)
+    assert models.logdet(edges, 300, 0.3, order=4, probes=5) == pytest.approx(models.series_logdet(series, 0.3))
+
+
+def test_kriging_gates_and_uncertainty(spark):
+    at = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.0)], "ord long, x double, y double")
+    values = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "ord long, value double")
+    goal = spark.createDataFrame([(7, 0.5, 0.5)], "ord long, x double, y double")
+    fit = {"model": "exponential", "nugget": 0.1, "sill": 1.0, "range": 3.0}
+    base = models.kriging(values, at, goal, fit, 3, dims="xy", weights=True).first()
+    w = {r["j"]: r["w"] for r in base["weights"]}
+    assert sum(w.values()) == pytest.approx(1) and base["prediction"] == pytest.approx(w[0] + 2 * w[1] + 4 * w[2])
+    covariance = spark.createDataFrame([(i, j, 0.5 if i == j else 0.1) for i in range(3) for j in range(3)], "i long, j long, value double")
+    support = spark.createDataFrame([(7, 0.25)], "ord long, variance double")
+    fits = [{**fit, "range": r} for r in (2.0, 3.0, 4.0)]
+    got = models.kriging_uncertainty(values, at, goal, fit, 3, covariance, fits, support, dims="xy").first()
+    plain = [models.kriging(values, at, goal, f, 3, dims="xy").first()["prediction"] for f in fits]
+    assert got["measurement_variance"] == pytest.approx(sum(w[i] * w[j] * (0.5 if i == j else 0.1) for i in w for j in w))
+    assert got["parameter_variance"] == pytest.approx(np.var(plain, ddof=1)) and got["process_variance"] == pytest.approx(base["variance"])
+    assert got["std_error"] ** 2 == pytest.approx(got["process_variance"] + got["measurement_variance"] + got["parameter_variance"] + 0.25)
+    assert got["high"] - got["prediction"] == pytest.approx(1.959963984540054 * got["std_error"], rel=1e-6)
+    with pytest.raises(ValueError, match="condition|semidefinite"):
+        models.kriging_system(np.zeros((2, 2)), np.ones(2), np.ones((2, 1)), np.ones(1), ["exponential", 0.0, 1.0, 3.0])
+
+
+def test_correlogram_permutations(spark):
+    n = 12
+    values = spark.createDataFrame([(k, float(k)) for k in range(n)] + [(n, float("nan"))], "ord long, value double")
+    edges = spark.createDataFrame([(a, b, 1.0, 1.0) for a in range(n) for b in (a - 1, a + 1) if 0 <= b < n], "i long, j long, w_raw double, w double")
+    got = statistics.correlogram_test(values, edges, 3, statistics.Permutations(99, 1, adjust="maxT"), "omit").orderBy("order").collect()
+    plain = {r["order"]: r["statistic"] for r in statistics.correlogram(values.where("not isnan(value)"), edges, 3).collect()}
+    assert [r["statistic"] for r in got] == pytest.approx([plain[r["order"]] for r in got])
+    assert got[0]["p_value"] <= 0.02 and all(r["p_adjusted"] >= r["p_value"] - 1e-12 for r in got)
+    with pytest.raises(ValueError):
+        statistics.correlogram_test(values, edges, 3)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from latticework import model
 from latticework.model import Measure, make, point, volume
 from latticework.operators import support as S
 
@@ -153,3 +154,18 @@ def test_resampling(spark):
         plan.resample(x, x)
     y = plan.resample(x, x, authorize=True)
     assert sorted((r["ord"], r["layer_ord"], r["value"]) for r in y.values.collect()) == [(0, 0, 10.0), (0, 1, 3.0), (1, 0, 20.0), (1, 1, 7.0)]
+
+
+def test_barycentric_map_looks_at_all_triangles(spark):
+    """One large triangle near the vertex, many small ones whose centroids are nearer."""
+    at, faces = [(-50.0, -50.0, 0.1), (50.0, -50.0, 0.1), (0.0, 70.0, 0.1)], [(0, 1, 2)]
+    for k in range(20):
+        x = 0.1 * k
+        n = len(at)
+        at += [(x, 0.0, 5.0), (x + 0.05, 0.0, 5.0), (x, 0.05, 5.0)]
+        faces.append((n, n + 1, n + 2))
+    target = model.surface(spark, at, faces)
+    source = model.point(spark, [(0.0, 0.0, 0.0), (1.0, 0.0, 4.9)])
+    got = S.barycentric_map(source, target, 4, support=spark.createDataFrame([(0, 1.0), (1, 1.0)], "source_ord long, support double")).weights.collect()
+    near = {s: {r["target_ord"] for r in got if r["source_ord"] == s} for s in (0, 1)}
+    assert near[0] == {0, 1, 2} and min(near[1]) >= 3

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from latticework import model
 from latticework.model import composite, point, surface, volume
 from latticework.operators import graph, topology
 
@@ -108,3 +109,26 @@ def test_cotangent(spark):
     # every angle is 60 degrees and every edge has two triangles
     w = [r["w_raw"] for r in topology.cotangent(x).collect()]
     assert len(w) == 12 and w == pytest.approx([1 / 3**0.5] * 12)
+
+
+def test_chart_distortion_is_kept(spark):
+    x = model.surface(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0)], [(0, 1, 2)])
+    flat = x.elements.select("ord", "x", "y")
+    assert model.chart_distortion(model.set_chart(x, flat, "flat", {"area": 0.1})) == {"area": 0.1}
+    assert model.chart_distortion(model.set_chart(x, flat, "flat"), "flat") is None
+    with pytest.raises(KeyError):
+        model.chart_distortion(x)
+
+
+def test_older_containers(spark):
+    old = {
+        "domain": {"type": "points", "space": {"space_id": "s", "kind": "template", "unit": "mm"}, "elements": [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}]},
+        "values": [[1.0, 5.0], [2.0, 6.0]], "maps": [{"map_id": "m1", "name": "a", "measure_id": "q"}, {"map_id": "m2", "name": "b", "measure_id": "q"}],
+        "measures": [{"measure_id": "q", "units": "mm", "spatial_semantics": "intensive", "default_aggregation": "weighted_mean"}], "labels": {"own": ["u", "v"]}, "provenance": {"by": "hand"},
+    }
+    x = model.migrate_legacy(spark, old)
+    assert x.kind == "point" and x.space.unit == "mm" and x.behaviour("a") == "intensive" and [h["operation"] for h in x.history] == ["source", "migrate_legacy"]
+    assert sorted(map(tuple, x.values.collect())) == [(0, 0, 1.0), (0, 1, 5.0), (1, 0, 2.0), (1, 1, 6.0)] and x.layers.where("layer_id = 'm2'").first()["name"] == "b"
+    for bad in ({}, {**old, "domain": {"type": "cubes"}}, {**old, "maps": [{"map_id": "m1", "measure_id": "none"}, old["maps"][1]]}):
+        report = model.migrate_legacy(spark, bad)
+        assert report["status"] == "reconstruction_required" and report["issues"] and report["field_map"]["maps"] == "layers"
