@@ -271,48 +271,51 @@ def _apply(edges: DataFrame, v: DataFrame, diagonal: float, off: float) -> DataF
 
 
 def solve(operator: Callable[[DataFrame], DataFrame], rhs: DataFrame, method: str = "cg", tolerance: float = 1e-8, rounds: int = 1000) -> tuple[DataFrame, list[float]]:
-    """Conjugate gradients (symmetric positive) or BiCGSTAB on vectors (ord, value): a few joins and sums each round.
+    """Conjugate gradients (symmetric positive) or BiCGSTAB on vectors (ord, value).
 
-    Returns the solution and the residuals; state is cut to a table every round.
+    All vectors are columns of one table. Each application of the operator writes
+    that table once and takes all inner products it needs in one pass; updates
+    are projections that the next round reads through. Returns the solution and
+    the residuals.
     """
-    def dot(a: DataFrame, b: DataFrame) -> float:
-        return a.join(b.withColumnRenamed("value", "other"), "ord").agg(F.sum(F.col("value") * F.col("other"))).first()[0] or 0.0
-
-    def add(a: DataFrame, b: DataFrame, s: float) -> DataFrame:
-        return a.join(b.withColumnRenamed("value", "other"), "ord").select("ord", (F.col("value") + s * F.col("other")).alias("value"))
-
-    x = rhs.select("ord", F.lit(0.0).alias("value"))
-    r = p = cut(rhs, "residual")
-    norm = math.sqrt(dot(rhs, rhs)) or 1.0
-    history, rr = [1.0], dot(r, r)
-    if method == "cg":
-        for _ in range(rounds):
-            if history[-1] <= tolerance:
-                break
-            ap = cut(operator(p), "operator")
-            alpha = rr / dot(p, ap)
-            x, r = cut(add(x, p, alpha), "solution"), cut(add(r, ap, -alpha), "residual")
-            new = dot(r, r)
-            p, rr = cut(add(r, p, new / rr), "direction"), new
-            history.append(math.sqrt(new) / norm)
-        return x, history
-    shadow, rho = r, dot(r, r)
+
+    def applied(state: DataFrame, column: str, name: str) -> DataFrame:
+        image = operator(state.select("ord", F.col(column).alias("value"))).withColumnRenamed("value", name)
+        return cut(state.join(image, "ord"), "solver")
+
+    def dots(state: DataFrame, *pairs: str) -> list[float]:
+        return [v or 0.0 for v in state.agg(*[F.sum(F.col(a) * F.col(b)) for a, b in (p.split() for p in pairs)]).first()]
+
+    c = F.col
+    state = rhs.select("ord", F.lit(0.0).alias("x"), c("value").alias("r"), c("value").alias("p"), c("value").alias("q"))
+    first, history = dots(state, "r r")[0], [1.0]
+    norm = math.sqrt(first) or 1.0
+    rho = first
     for _ in range(rounds):
-        if history[-1] <= tolerance:
+        if history[-1] <= tolerance or not rho:
             break
-        v = cut(operator(p), "operator")
-        alpha = rho / dot(shadow, v)
-        s = cut(add(r, v, -alpha), "half")
-        t = cut(operator(s), "operator")
-        tt = dot(t, t)
-        omega = dot(t, s) / tt if tt else 0.0
-        x, r = cut(add(add(x, p, alpha), s, omega), "solution"), cut(add(s, t, -omega), "residual")
-        history.append(math.sqrt(dot(r, r)) / norm)
-        new = dot(shadow, r)
-        if not rho or not omega:
-            break
-        p, rho = cut(add(r, add(p, v, -omega), new / rho * alpha / omega), "direction"), new
-    return x, history
+        state = applied(state, "p", "v")
+        if method == "cg":
+            rr, pv, rv, vv = dots(state, "r r", "p v", "r v", "v v")
+            alpha = rr / pv
+            rest = max(0.0, rr - 2 * alpha * rv + alpha * alpha * vv)
+            r = c("r") - alpha * c("v")
+            state = state.select("ord", (c("x") + alpha * c("p")).alias("x"), r.alias("r"), (r + rest / rr * c("p")).alias("p"), "q")
+            rho = rest
+        else:
+            qv = dots(state, "q v")[0]
+            if not qv:
+                break
+            alpha = rho / qv
+            state = applied(state.withColumn("s", c("r") - alpha * c("v")), "s", "t")
+            tt, ts, ss, qs, qt = dots(state, "t t", "t s", "s s", "q s", "q t")
+            omega = ts / tt if tt else 0.0
+            rest, new = max(0.0, ss - 2 * omega * ts + omega * omega * tt), qs - omega * qt
+            r, x = c("s") - omega * c("t"), c("x") + alpha * c("p") + omega * c("s")
+            state = state.select("ord", x.alias("x"), r.alias("r"), (r + (new / rho * alpha / omega if omega else 0.0) * (c("p") - omega * c("v"))).alias("p"), "q")
+            rho = new if omega else 0.0
+        history.append(math.sqrt(rest) / norm)
+    return cut(state.select("ord", c("x").alias("value")), "solution"), history
 
 
 def logdet(edges: DataFrame, n: int, rho: float, exact_up_to: int = 200, order: int = 20, probes: int = 30, seed: int = 3401) -> float:

@@ -267,7 +267,9 @@ def local_permutation_test(values: DataFrame, edges: DataFrame, control: Permuta
     out = local_moran(values, edges).join(p, "ord")
     if control.adjust == "none":
         return out.withColumn("p_adjusted", F.col("p_value"))
-    table = out.select("ord", "p_value").toPandas()
+    if control.adjust == "BH":
+        return out.join(benjamini_hochberg(out.select(F.col("ord").alias("_of"), F.when(~F.isnan("p_value"), F.col("p_value")).alias("p_value"))).select(F.col("_of").alias("ord"), "p_adjusted"), "ord", "left")
+    table = collected(out.select("ord", "p_value"))
     table["p_adjusted"] = numeric.adjust(table["p_value"].to_numpy(), control.adjust)
     return out.join(spark.createDataFrame(table[["ord", "p_adjusted"]]), "ord")
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.model import Dataset, sha256
+from latticework.storage import collected
 
 from .statistics import Permutations, _dense, binned, draws
 from .topology import styled
@@ -168,7 +169,7 @@ def spacetime_moran_test(v: DataFrame, w: SpaceTime, control: Permutations = Per
     times = [r[0] for r in v.select("time_ord").distinct().orderBy("time_ord").collect()]
     base = v.groupBy("ord").agg(F.first("value").alias("value"))
     _, spatial, new = _dense(base, w.spatial)
-    table = v.join(new.withColumnRenamed("old", "ord"), "ord").select("new", "time_ord", "value").toPandas().pivot(index="new", columns="time_ord", values="value").sort_index()[times].to_numpy()
+    table = collected(v.join(new.withColumnRenamed("old", "ord"), "ord").select("new", "time_ord", "value")).pivot(index="new", columns="time_ord", values="value").sort_index()[times].to_numpy()
     temporal = csr(w.temporal, len(times))
     sent = v.sparkSession.sparkContext.broadcast((table - table.mean(), spatial, temporal))
 

@@ -14,6 +14,8 @@ from latticework.storage import cut
 from .graph import both_ways, components, shortest
 
 STYLES = ("W", "B", "none")
+#: Rows of a cell above which the nearest join starts from smaller cells.
+CROWD = 512
 
 
 def adjacency(x: Dataset, connectivity: int = 6, region_edges: DataFrame | None = None) -> DataFrame:
@@ -119,11 +121,28 @@ def within(left: DataFrame, right: DataFrame, radius: float, dims: str = "xyz")
     return met.where(F.col("distance") <= radius).select("i", "j", "distance")
 
 
+def _start(right: DataFrame, radius: float, dims: str, crowd: int) -> float:
+    """``radius`` halved until no cell has more than ``crowd`` rows, or eight halvings in a row part none of the fullest."""
+    kept, before, idle = radius, None, 0
+    while idle < 8:
+        top = right.groupBy(*[F.floor(F.col(c) / radius).cast("long").alias("g" + c) for c in dims]).count().agg(F.max("count")).first()[0] or 0
+        if before is None or top < before:
+            kept, before, idle = radius, top, 0
+        else:
+            idle += 1
+        if top <= crowd:
+            break
+        radius /= 2
+    return kept
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, dims: str = "xyz", same: bool = True) -> DataFrame:
     """(i, j, distance, rank) of the k nearest right rows of every left row; ties to the smaller ordinal.
 
     Exact: a row is settled once k are found within the radius of a grid join;
     the radius doubles for those that are left, and ends with the whole extent.
+    It starts where no cell is crowded, so rows of a dense cluster are settled in
+    small cells before the others look further.
     """
     stats = right.agg(F.count("*"), *[f(c) for c in dims for f in (F.min, F.max)]).first()
     both = left.agg(*[f(c) for c in dims for f in (F.min, F.max)]).first()
@@ -136,6 +155,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, dims: str = "xyz", same:
         side *= s
     radius = (side * (k + 1) * 2 / max(n, 1)) ** (1 / max(1, len(wide))) if wide else 1.0
     want = min(k, n - 1 if same else n)
+    radius = _start(right, radius, dims, max(CROWD, 16 * k)) if want > 0 else radius
     open_, out = left.select("ord", *dims), []
     order = Window.partitionBy("i").orderBy("distance", "j")
     while want > 0:

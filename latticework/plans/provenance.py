@@ -44,18 +44,33 @@ def build_name(entities: dict[str, str], suffix: str, extension: str) -> str:
     return "_".join([*(f"{k}-{entities[k]}" for k in ENTITIES if k in entities), suffix]) + extension
 
 
+#: Fields of the description beside a derived file, and of what it says of each layer.
+SIDECAR = ("Specification", "SpatialReference", "BaseType", "BaseHash", "Entities", "MeasurementSemantics", "Sources", "GeneratedBy", "History")
+SEMANTICS = ("Name", "ValueType", "SpatialSemantics", "Units")
+
+
 def sidecar(x: Dataset, entities: dict[str, str] | None = None, sources: list[str] | None = None) -> dict:
     """The description that goes beside a derived file."""
     layers = x.layers.join(x.measures.drop("name"), "measure_id").orderBy("layer_ord").collect()
-    return {"space": x.space.space_id, "base_type": x.kind, "base_signature": base_signature(x), "entities": entities or {}, "layers": [{k: r[k] for k in ("layer_id", "name", "unit", "support_behavior")} for r in layers], "sources": sources or [], "history": list(x.history)}
+    meant = [{"Name": r["name"], "ValueType": r["value_type"], "SpatialSemantics": r["support_behavior"], "Units": r["unit"], "LayerId": r["layer_id"], "MissingPolicy": r["missing_policy"], "Aggregation": r["aggregation"], "TemporalSemantics": r["temporal_semantics"]} for r in layers]
+    return {"Specification": "derivative", "SpatialReference": x.space.space_id, "BaseType": x.kind, "BaseHash": base_signature(x), "Entities": entities or {}, "MeasurementSemantics": meant, "Sources": sources or [], "GeneratedBy": [{"Name": "latticework"}], "History": list(x.history)}
 
 
 def validate_sidecar(found: dict, x: Dataset | None = None, path: str | None = None) -> list[str]:
-    """What is missing or does not fit the data or the path."""
-    issues = [f"missing {k}" for k in ("space", "base_type", "base_signature", "entities", "layers") if k not in found]
-    if x is not None and found.get("base_signature") != base_signature(x):
-        issues.append("another base")
-    if path is not None and parse_name(path)["entities"] != found.get("entities"):
+    """What is missing, of another kind, or does not fit the data or the path."""
+    issues = [f"missing {k}" for k in SIDECAR if k not in found]
+    kinds = {"SpatialReference": str, "BaseType": str, "BaseHash": str, "Entities": dict, "MeasurementSemantics": list, "Sources": list, "GeneratedBy": list, "History": list}
+    issues += [f"{k} is no {t.__name__}" for k, t in kinds.items() if k in found and not isinstance(found[k], t)]
+    if issues:
+        return issues
+    issues += [f"unknown entity {k}" for k in found["Entities"] if k not in ENTITIES]
+    issues += [f"layer {n} has no {k}" for n, own in enumerate(found["MeasurementSemantics"]) for k in SEMANTICS if k not in own]
+    if x is not None:
+        if found["BaseHash"] != base_signature(x) or found["BaseType"] != x.kind:
+            issues.append("another base")
+        if len(found["MeasurementSemantics"]) != x.layers.count():
+            issues.append("another number of layers")
+    if path is not None and parse_name(path)["entities"] != found["Entities"]:
         issues.append("the path has other entities")
     return issues
 

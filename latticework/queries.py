@@ -536,4 +536,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from latticework import queries_base, queries_more  # noqa: E402, F401  they register themselves with the names above
+from latticework import queries_base, queries_more, queries_rest  # noqa: E402, F401  they register themselves with the names above
