@@ -206,5 +206,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     named = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     own = fresh(docs, "_language")
-    found = docs.select(*[F.col(f"`{c}`") for c in named], predict("text").alias(own))
+    # said to be non-deterministic, it is not evaluated again for a filter on its result
+    found = docs.select(*[F.col(f"`{c}`") for c in named], predict.asNondeterministic()("text").alias(own))
     return found.select(*[F.col(f"`{c}`") for c in named], f"{own}.lang_pred", f"{own}.score", f"{own}.rejected")

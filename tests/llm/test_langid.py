@@ -71,3 +71,10 @@ def test_letters_are_category_l(spark, sf):
     odd = spark.createDataFrame([(1, "½ ² ① Ⅷ", "own", "Own")], "doc_id long, text string, _language string, __language string")
     got = langid.identify(odd, langid.fit(docs)).first()
     assert (got["_language"], got["__language"], got["lang_pred"], got["score"], got["rejected"]) == ("own", "Own", "und", 0.0, True)
+
+
+def test_a_filter_does_not_predict_again(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = langid.identify(docs, langid.fit(docs)).where("not rejected").select("doc_id", "lang_pred")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
+    assert 0 < kept.count() <= docs.count()
