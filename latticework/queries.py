@@ -8,6 +8,7 @@ rounded alike on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -325,20 +326,27 @@ def local_coupling(spark, sf):  # noqa: ANN001, ANN201
     return found.select("ord", _r("cross_moran", 8), _r("cross_geary", 8))
 
 
-# --- lattices and meshes made on the spot
+# --- lattices and meshes: cells that have parts, parts as vertices of a square
 
 
-@query("with v as (select i + 5 * j + 20 * k as ord, i, j, k from generate_series(0, 4) a(i), generate_series(0, 3) b(j), generate_series(0, 2) c(k)) select a.ord as i, b.ord as j from v a join v b on abs(a.i-b.i) <= 1 and abs(a.j-b.j) <= 1 and abs(a.k-b.k) <= 1 and abs(a.i-b.i) + abs(a.j-b.j) + abs(a.k-b.k) between 1 and 2")
+@query("with c as (select distinct p_size - 1 i, cast(regexp_extract(p_brand, '([0-9]+)', 1) as integer) j from part), v as (select row_number() over (order by i + 50 * j) - 1 as ord, i, j from c) select a.ord as i, b.ord as j from v a join v b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and a.ord <> b.ord")
 def voxel_adjacency(spark, sf):  # noqa: ANN001, ANN201
-    from latticework.model import volume
+    """Faces and edges of the cells of one layer."""
+    from latticework.queries_base import _lattice
 
-    x = volume(spark, (5, 4, 3), [[2, 0, 0, 0], [0, 2, 0, 0], [0, 0, 2, 0], [0, 0, 0, 1]])
-    return topology.adjacency(x, 18).select("i", "j")
+    return topology.adjacency(_lattice(spark, sf), 18).select("i", "j")
 
 
-@query("with q as (select a * 10 + b as q, a, b from generate_series(0, 8) r(a), generate_series(0, 8) s(b)), f as (select [q, q + 1, q + 10] v from q union all select [q + 1, q + 11, q + 10] from q), c as (select unnest(v) as ord from f) select cast(ord as bigint) as ord, round(count(*) * 0.5 / 3, 9) as area from c group by 1")
+def _side(spark: SparkSession, sf: str) -> int:
+    return math.isqrt(_table(spark, sf, "part").count())
+
+
+_MESH = "with s as (select cast(floor(sqrt(count(*))) as bigint) s from part), r as (select unnest(range(s - 1)) a from s), q as (select x.a * s + y.a as q, s from r x, r y, s), f as (select q a, q + 1 b, q + s c from q union all select q + 1, q + s + 1, q + s from q)"
+
+
+@query(_MESH + ", c as (select a as ord from f union all select b from f union all select c from f) select ord, round(count(*) * 0.5 / 3, 9) as area from c group by 1")
 def mesh_vertex_area(spark, sf):  # noqa: ANN001, ANN201
-    return topology.vertex_area(_grid(spark, 10)).select("ord", _r("area", 9))
+    return topology.vertex_area(_grid(spark, _side(spark, sf))).select("ord", _r("area", 9))
 
 
 def _grid(spark: SparkSession, side: int):  # noqa: ANN202
@@ -352,9 +360,9 @@ def _grid(spark: SparkSession, side: int):  # noqa: ANN202
     return surface(spark, at, faces)
 
 
-@query("with q as (select a * 10 + b as q from generate_series(0, 8) r(a), generate_series(0, 8) s(b)), f as (select q a, q + 1 b, q + 10 c from q union all select q + 1, q + 11, q + 10 from q), p as (select a i, b j from f union select b, c from f union select a, c from f), w as (select i, j from p union select j, i from p), d as (select i, count(*) k from w group by 1) select cast(i as bigint) as ord, k as degree from d")
+@query(_MESH + ", p as (select a i, b j from f union select b, c from f union select a, c from f), w as (select i, j from p union select j, i from p) select i as ord, count(*) as degree from w group by 1")
 def mesh_degree(spark, sf):  # noqa: ANN001, ANN201
-    return topology.adjacency(_grid(spark, 10)).groupBy(F.col("i").alias("ord")).agg(F.count("*").alias("degree"))
+    return topology.adjacency(_grid(spark, _side(spark, sf))).groupBy(F.col("i").alias("ord")).agg(F.count("*").alias("degree"))
 
 
 # --- layers: the columns of lineitem; merging aggregates
@@ -439,13 +447,16 @@ def temporal_variogram(spark, sf):  # noqa: ANN001, ANN201
     return temporal.temporal_variogram(_days(spark, sf), 5, 10.0).select(F.col("bin").cast("int").alias("bin"), _r("distance"), _r("gamma", 3), "n")
 
 
-def _chain(spark: SparkSession, n: int) -> DataFrame:
-    return temporal.temporal_weights(temporal.time_axis(n=n), spark, style="B")
+def _chain(v: DataFrame) -> DataFrame:
+    """Neighbouring days, up to the last one there is."""
+    n = v.agg(F.max("time_ord")).first()[0] + 1
+    return temporal.temporal_weights(temporal.time_axis(n=n), v.sparkSession, style="B")
 
 
-@query(_DAYS + ", z as (select ord, t, value - avg(value) over (partition by ord) z from v), l as (select a.ord, a.t, sum(b.z) lag from z a join z b on a.ord = b.ord and abs(a.t - b.t) = 1 group by 1, 2) select z.ord as ord, round(count(*) / 58.0 * sum(z * coalesce(lag, 0)) / nullif(sum(z * z), 0), 7) as statistic from z left join l using (ord, t) group by 1")
+@query(_DAYS + ", z as (select ord, t, value - avg(value) over (partition by ord) z from v), l as (select a.ord, a.t, sum(b.z) lag from z a join z b on a.ord = b.ord and abs(a.t - b.t) = 1 group by 1, 2) select z.ord as ord, round(count(*) / (2.0 * (select max(t) from v)) * sum(z * coalesce(lag, 0)) / nullif(sum(z * z), 0), 7) as statistic from z left join l using (ord, t) group by 1")
 def temporal_moran(spark, sf):  # noqa: ANN001, ANN201
-    return temporal.temporal_moran(_days(spark, sf), _chain(spark, 30)).select("ord", _r("statistic", 7))
+    v = _days(spark, sf)
+    return temporal.temporal_moran(v, _chain(v)).select("ord", _r("statistic", 7))
 
 
 @query(_DAYS + ", s as (select a.ord, a.t, sum(b.value) x from v a join v b on b.t = a.t and abs(a.ord - b.ord) = 1 group by 1, 2), l as (select a.ord, a.t, sum(b.value) x from v a join v b on a.ord = b.ord and abs(a.t - b.t) = 1 group by 1, 2) select v.ord as ord, v.t as time_ord, round(0.5 * coalesce(s.x, 0) + 0.5 * coalesce(l.x, 0), 4) as lag from v left join s using (ord, t) left join l using (ord, t)")
@@ -453,7 +464,7 @@ def spacetime_lag(spark, sf):  # noqa: ANN001, ANN201
     v = _days(spark, sf)
     users = v.select(F.col("ord").alias("i")).distinct()
     space = users.select("i", F.explode(F.array(F.col("i") - 1, F.col("i") + 1)).alias("j"), F.lit(1.0).alias("w"))
-    return temporal.lagged(v, temporal.SpaceTime(space, _chain(spark, 30))).select("ord", "time_ord", _r("lag", 4))
+    return temporal.lagged(v, temporal.SpaceTime(space, _chain(v))).select("ord", "time_ord", _r("lag", 4))
 
 
 @query(_DAYS + ", h as (select ord, list(case when value >= 20 then 1 else 0 end order by t) h from v group by 1), s as (select ord, h, list_sum(h) k, len(h) n, array_to_string(h, '') x from h) select ord, case when k = 0 then 'none' when h[n] = 0 then 'historical' when k = 1 then 'new' when k >= 0.9 * n then 'persistent' when regexp_matches(x, '^0*1+$') then 'consecutive' else 'recurrent' end as class from s")

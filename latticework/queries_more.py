@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from latticework import model
 from latticework.model import Measure
 from latticework.operators import gis, inference, models, multilayer, spaces, statistics, support, temporal, topology
-from latticework.queries import _DAYS, _E, _KNN, _SHARES, _customers, _days, _knn, _label, _layer, _points, _r, _shares, _table, query
+from latticework.queries import _DAYS, _E, _KNN, _SHARES, _chain, _customers, _days, _knn, _label, _layer, _points, _r, _shares, _table, query
 from latticework.queries_base import _V, _nations, _set
 
 _C = "with c as (select c_custkey o, cast(c_nationkey as bigint) n, cast(ascii(c_mktsegment) as bigint) s, c_acctbal v from customer) "
@@ -236,13 +236,12 @@ def spacetime_weights(spark, sf):  # noqa: ANN001, ANN201
     return temporal.materialised(temporal.SpaceTime(space, time, "sum", 0.25), r, 3).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "w")
 
 
-@query(_DAYS + ", u as (select count(distinct ord) ne, count(distinct t) nt, count(*) n, avg(value) m from v), z as (select ord, t, value - m z from v, u), s as (select a.ord, a.t, sum(b.z) x from z a join z b on b.t = a.t and abs(a.ord - b.ord) = 1 group by 1, 2), l as (select a.ord, a.t, sum(b.z) x from z a join z b on a.ord = b.ord and abs(a.t - b.t) = 1 group by 1, 2), g as (select count(*) k from (select distinct ord from v) a join (select distinct ord from v) b on abs(a.ord - b.ord) = 1), f as (select sum(z * (0.5 * coalesce(s.x, 0) + 0.5 * coalesce(l.x, 0))) p, sum(z * z) q from z left join s using (ord, t) left join l using (ord, t)) select round(n / (0.5 * k * nt + 0.5 * 58 * ne) * p / q, 7) as statistic, n from f, u, g")
+@query(_DAYS + ", u as (select count(distinct ord) ne, count(distinct t) nt, count(*) n, avg(value) m from v), z as (select ord, t, value - m z from v, u), s as (select a.ord, a.t, sum(b.z) x from z a join z b on b.t = a.t and abs(a.ord - b.ord) = 1 group by 1, 2), l as (select a.ord, a.t, sum(b.z) x from z a join z b on a.ord = b.ord and abs(a.t - b.t) = 1 group by 1, 2), g as (select count(*) k from (select distinct ord from v) a join (select distinct ord from v) b on abs(a.ord - b.ord) = 1), f as (select sum(z * (0.5 * coalesce(s.x, 0) + 0.5 * coalesce(l.x, 0))) p, sum(z * z) q from z left join s using (ord, t) left join l using (ord, t)) select round(n / (0.5 * k * nt + 0.5 * 2 * (select max(t) from v) * ne) * p / q, 7) as statistic, n from f, u, g")
 def spacetime_moran(spark, sf):  # noqa: ANN001, ANN201
     v = _days(spark, sf)
     users = v.select(F.col("ord").alias("i")).distinct()
     space = users.select("i", F.explode(F.array(F.col("i") - 1, F.col("i") + 1)).alias("j"), F.lit(1.0).alias("w")).join(users.select(F.col("i").alias("j")), "j", "left_semi")
-    chain = temporal.temporal_weights(temporal.time_axis(n=30), spark, style="B")
-    return temporal.spacetime_moran(v, temporal.SpaceTime(space, chain)).select(_r("statistic", 7), "n")
+    return temporal.spacetime_moran(v, temporal.SpaceTime(space, _chain(v))).select(_r("statistic", 7), "n")
 
 
 @query(_DAYS + ", p as (select abs(a.ord - b.ord) d, abs(a.t - b.t) h, 0.5 * (a.value - b.value) * (a.value - b.value) g from v a join v b on b.ord > a.ord and b.ord - a.ord <= 2 where abs(a.t - b.t) <= 4) select case when d > 1 then 2 else 1 end as space_bin, case when h > 2 then 2 else 1 end as time_bin, round(avg(h), 6) as time, round(avg(g), 3) as gamma, count(*) as n from p group by 1, 2")
