@@ -13,8 +13,8 @@ from latticework.functions import numeric
 from latticework.model import sha256, table_hash
 from latticework.storage import collected
 
-from .graph import components, shortest
-from .statistics import draws
+from .graph import MOST_EDGES, components, shortest
+from .statistics import Permutations, draws
 from .topology import within
 
 #: Elements up to which a dense inverse or spectrum is made.
@@ -163,6 +163,52 @@ def hotspots(v: DataFrame, spatial: DataFrame, bandwidth: float = 1.0, temporal_
     return sums.join(F.broadcast(stats), F.lit(True)).select("ord", "time_ord", F.try_divide(F.col("top") - F.col("mean") * F.col("sw"), below).alias("z"))
 
 
+def hotspot_test(v: DataFrame, spatial: DataFrame, bandwidth: float = 1.0, temporal_bandwidth: float = 1.0, interaction: float = 1.0, cutoff: float | None = None, control: Permutations = Permutations()) -> DataFrame:  # noqa: B008
+    """``hotspots`` with p_value and p_max: whole series move between the elements, p_max holds against the largest |z| of each draw.
+
+    The kernel's weights go to the tasks once, after their number is checked;
+    draws are spread and send back counts alone. Every element needs a value at
+    every point of time.
+    """
+    reach = cutoff if cutoff is not None else 3.0
+    table = collected(v.select("ord", "time_ord", "time", "value")).sort_values(["ord", "time_ord"])
+    x = table.pivot(index="ord", columns="time_ord", values="value")
+    if x.isna().to_numpy().any():
+        raise ValueError("elements without a value at some time")
+    times = table.drop_duplicates("time_ord").sort_values("time_ord")["time"].to_numpy()
+    at, n, nt = {o: k for k, o in enumerate(x.index)}, len(x), len(times)
+    pairs = collected(spatial.select("i", "j", "distance"))
+    i, j = (np.concatenate([pairs[c].map(at).to_numpy(dtype=np.int64), np.arange(n)]) for c in "ij")
+    s = np.concatenate([pairs["distance"].to_numpy(dtype=float) / bandwidth, np.zeros(n)])
+    i, j, s = i[s <= reach], j[s <= reach], s[s <= reach]
+    t = np.abs(times[:, None] - times[None]) / temporal_bandwidth
+    if (cells := len(s) * nt * nt) > MOST_EDGES:
+        raise ValueError(f"{cells} weights; a task can be sent {MOST_EDGES}")
+    w = np.exp(-s[:, None, None] - t[None] - interaction * s[:, None, None] * t[None]) * (t <= reach)[None]
+    sent = v.sparkSession.sparkContext.broadcast((x.to_numpy(dtype=float), i, j, w))
+
+    def scores(values: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
+        sums = [np.zeros(values.shape) for _ in range(3)]
+        for out, each in zip(sums, (np.einsum("kab,kb->ka", w, values[j]), w.sum(2), (w * w).sum(2)), strict=True):
+            np.add.at(out, i, each)
+        m = values.size
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (sums[0] - values.mean() * sums[1]) / (values.std() * np.sqrt((m * sums[2] - sums[1] ** 2) / (m - 1)))
+
+    observed = scores(*sent.value)
+    held = v.sparkSession.sparkContext.broadcast(np.abs(observed))
+
+    def run(_: int, rng: np.random.Generator) -> list[tuple]:
+        values, i, j, w = sent.value
+        z = np.abs(scores(values[rng.permutation(len(values))], i, j, w))
+        return list(zip(range(z.size), (z >= held.value).ravel().astype(int).tolist(), (np.nanmax(z) >= held.value).ravel().astype(int).tolist(), strict=True))
+
+    counts = draws(v.sparkSession, control.draws, control.seed, run, "place long, alone long, largest long").groupBy("place").agg(F.sum("alone").alias("alone"), F.sum("largest").alias("largest"))
+    named = v.sparkSession.createDataFrame([(k, int(o), int(tt), float(observed[k // nt, k % nt])) for k, (o, tt) in enumerate((o, tt) for o in x.index for tt in x.columns)], "place long, ord long, time_ord int, z double")
+    p = lambda c: ((F.coalesce(F.col(c), F.lit(0)) + 1) / (control.draws + 1.0)).alias
+    return named.join(counts, "place", "left").select("ord", "time_ord", "z", p("alone")("p_value"), p("largest")("p_max"))
+
+
 def hotspot_classes(z: DataFrame, threshold: float = 1.96, persistent: float = 0.9) -> DataFrame:
     """(ord, class): none, historical, new, persistent, consecutive or recurrent, in this order of precedence."""
     row = z.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("time_ord", (F.col("z") >= threshold).cast("int").alias("hot")))).alias("e")).select("ord", F.col("e.hot").alias("h"))

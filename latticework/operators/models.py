@@ -54,17 +54,20 @@ def kernel_weight(kernel: str, d: np.ndarray, bandwidth: float) -> np.ndarray:
     return np.where(d < bandwidth, (1 - (d / bandwidth) ** 2) ** 2, 0.0)
 
 
-def kernel_regression(table: DataFrame, at: DataFrame, response: str, predictors: list[str], bandwidth: float, kernel: str = "gaussian", targets: DataFrame | None = None, cutoff: float = 3.0, support: str | None = None, leave_out: bool = False, dims: str = "xyz") -> DataFrame:
+def kernel_regression(table: DataFrame, at: DataFrame, response: str, predictors: list[str], bandwidth: float, kernel: str = "gaussian", targets: DataFrame | None = None, cutoff: float = 3.0, support: str | None = None, leave_out: bool = False, dims: str = "xyz", folds: int | None = None) -> DataFrame:
     """Weighted least squares around every target: (ord, term, estimate, effective_n, condition).
 
     Gaussian weights end at ``cutoff`` bandwidths, bisquare ones at one. The
     neighbours of a target come by a range join; singular systems give nulls.
+    With ``folds`` a target is fitted without the elements of its own fold, the
+    remainder of the ordinal.
     """
     if kernel not in KERNELS:
         raise ValueError(f"unknown kernel {kernel!r}")
     reach = bandwidth * (cutoff if kernel == "gaussian" else 1.0)
     near = within(targets if targets is not None else at, at, reach, dims)
     near = near.where("i <> j") if leave_out else near
+    near = near.where(F.col("i") % folds != F.col("j") % folds) if folds else near
     data = table.select(F.col("ord").alias("j"), F.col(response).alias("_y"), *[F.col(p).alias(f"_x{k}") for k, p in enumerate(predictors)], (F.col(support) if support else F.lit(1.0)).alias("_s"))
     terms, p = ["intercept", *predictors], len(predictors) + 1
 
@@ -86,11 +89,11 @@ def gwr(table: DataFrame, at: DataFrame, response: str, predictors: list[str], b
     return kernel_regression(table, at, response, predictors, bandwidth, kernel, **more)
 
 
-def gwr_bandwidth(table: DataFrame, at: DataFrame, response: str, predictors: list[str], candidates: list[float], kernel: str = "bisquare", dims: str = "xyz") -> DataFrame:
-    """(bandwidth, rmse, n): leave-one-out error of every candidate."""
+def gwr_bandwidth(table: DataFrame, at: DataFrame, response: str, predictors: list[str], candidates: list[float], kernel: str = "bisquare", dims: str = "xyz", folds: int | None = None) -> DataFrame:
+    """(bandwidth, rmse, n): cross-validated error of every candidate, leaving out one element or, with ``folds``, one fold."""
     out = None
     for b in candidates:
-        fits = kernel_regression(table, at, response, predictors, b, kernel, leave_out=True, dims=dims)
+        fits = kernel_regression(table, at, response, predictors, b, kernel, leave_out=True, dims=dims, folds=folds)
         wide = fits.groupBy("ord").pivot("term", ["intercept", *predictors]).agg(F.first("estimate"))
         own = table.select("ord", F.col(response).alias("_y"), *[F.col(p).alias(f"_p{k}") for k, p in enumerate(predictors)]).join(wide, "ord")
         fitted = sum((F.col(f"`{p}`") * F.col(f"_p{k}") for k, p in enumerate(predictors)), F.col("intercept"))

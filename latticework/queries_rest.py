@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from latticework import model
-from latticework.operators import gis, inference, models, multilayer, support, temporal, topology
+from latticework.operators import gis, inference, models, multilayer, statistics, support, temporal, topology
 from latticework.plans import provenance
 from latticework.queries import _DAYS, _E, _KNN, _customers, _days, _knn, _label, _layer, _points, _r, _table, query
 from latticework.queries_base import _lattice, _scratch, _set, _sheet
@@ -68,6 +68,39 @@ def kriging_errors(spark, sf):  # noqa: ANN001, ANN201
     return found.select("ord", _r("process_variance"), _r("measurement_variance", 8), _r("parameter_variance", 8), "support_variance", _r("std_error"))
 
 
+@query(_E + ", k as (select i, exp(-0.5 * (d / 0.3) * (d / 0.3)) w, e.v from cand join e on e.ord = j where d <= 0.9 and i % 5 <> j % 5), s as (select i, sum(w*v) / sum(w) m from k group by 1) select 0.3::double as bandwidth, round(sqrt(avg((v - m) * (v - m))), 6) as rmse, count(*) as n from s join e on e.ord = i")
+def bandwidth_errors_by_fold(spark, sf):  # noqa: ANN001, ANN201
+    p = _points(spark, sf)
+    return models.gwr_bandwidth(p.select("ord", "value"), p.select("ord", "x", "y"), "value", [], [0.3], "gaussian", dims="xy", folds=5).select("bandwidth", _r("rmse"), "n")
+
+
+_KERNEL = "with recursive v as (select cast(n_nationkey as bigint) o, t, cast((n_nationkey * 7 + t * t * 3 + n_regionkey * 5) % 11 as double) x from nation, range(4) r(t)), k as (select a.o, a.t, b.x, exp(-abs(a.o - b.o) / 2.0 - abs(a.t - b.t) - abs(a.o - b.o) / 2.0 * abs(a.t - b.t)) w from v a join v b on abs(a.o - b.o) <= 2), s as (select o, t, sum(w * x) p, sum(w) w, sum(w * w) q from k group by 1, 2), m as (select avg(x) m, stddev_pop(x) d, count(*) n from v) "
+
+
+def _field(spark, sf):  # noqa: ANN001, ANN202
+    """Nations in a row at four times, with values made of their keys, and the pairs no more than two apart."""
+    n = _table(spark, sf, "nation")
+    k = F.col("n_nationkey").cast("long")
+    v = n.select(k.alias("ord"), "n_regionkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("time_ord"))
+    v = v.select("ord", "time_ord", F.col("time_ord").cast("double").alias("time"), ((F.col("ord") * 7 + F.col("time_ord") * F.col("time_ord") * 3 + F.col("n_regionkey") * 5) % 11).cast("double").alias("value"))
+    near = n.select(k.alias("i"), F.explode(F.array(*[k + d for d in (-2, -1, 1, 2)])).alias("j")).join(n.select(k.alias("j")), "j", "left_semi")
+    return v, near.select("i", "j", F.abs(F.col("i") - F.col("j")).cast("double").alias("distance"))
+
+
+@query(_KERNEL + "select o as ord, cast(t as integer) as time_ord, round((p - m * w) / (d * sqrt((n * q - w * w) / (n - 1))), 7) as z from s, m")
+def hotspot_scores(spark, sf):  # noqa: ANN001, ANN201
+    v, near = _field(spark, sf)
+    return gis.hotspots(v, near, bandwidth=2.0).select("ord", F.col("time_ord").cast("int").alias("time_ord"), _r("z", 7))
+
+
+@query(_KERNEL + "select o as ord, cast(t as integer) as time_ord, round((p - m * w) / (d * sqrt((n * q - w * w) / (n - 1))), 7) as z, true as ordered from s, m")
+def hotspot_permutations(spark, sf):  # noqa: ANN001, ANN201
+    """The scores again, and that no adjusted p-value is below its own."""
+    v, near = _field(spark, sf)
+    found = gis.hotspot_test(v, near, bandwidth=2.0, control=statistics.Permutations(49, 5))
+    return found.select("ord", "time_ord", _r("z", 7), ((F.col("p_max") >= F.col("p_value")) & (F.col("p_value") >= 0.02) & (F.col("p_max") <= 1)).alias("ordered"))
+
+
 # --- groups, bases and couplings
 
 
