@@ -42,7 +42,7 @@ LISTED, SHARED = 64, 28
 #: Standard deviations that an estimate may lie below the similarity.
 SLACK = 5
 #: Members of a list in a block; pairs of one id, and bytes of their other ends' texts, that are held against it at a time.
-BLOCK, PAIRS, PAIR_BYTES = 512, 256, 8 << 20
+BLOCK, PAIRS, PAIR_BYTES = 1024, 256, 8 << 20
 #: Columns of an incidence table at a time.
 COLUMNS = 4096
 #: Pairs of a class with other components that come up in each further round.
@@ -148,7 +148,6 @@ def _met_at(pairs: DataFrame, facts: DataFrame, fields: list[str], weight: str)
     parts = F.ceil(F.greatest(F.col("_n") / PAIRS, F.col("_n") * F.col("_w") / PAIR_BYTES)).cast("int")
     heavy = cut(heavy.select("a", parts.alias("_parts")).where("_parts > 1"), "heavy")
     dealt = pairs.join(light(heavy, heavy.count()), "a", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("b"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
-    dealt = cut(dealt, "dealt")
     own = facts.select("id", *fields)
     right = dealt.join(own.withColumnRenamed("id", "b"), "b").select("a", "block", "b", *fields)
     left = dealt.select("a", "block").distinct().join(own.withColumnRenamed("id", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), *fields)
