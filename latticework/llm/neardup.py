@@ -43,6 +43,8 @@ LISTED, SHARED = 64, 28
 SLACK = 5
 #: Members of a list in a block; pairs of one id, and bytes of their other ends' texts, that are held against it at a time.
 BLOCK, PAIRS, PAIR_BYTES = 1024, 256, 8 << 20
+#: Bytes of sketches or texts that a task reads.
+READ_BYTES = 8 << 20
 #: Columns of an incidence table at a time.
 COLUMNS = 4096
 #: Pairs of a class with other components that come up in each further round.
@@ -136,13 +138,17 @@ def _unsigned(sketch: np.ndarray) -> np.ndarray:
     return np.asarray(sketch, dtype=np.int32).view(np.uint32).astype(np.uint64)
 
 
-def _met_at(pairs: DataFrame, facts: DataFrame, fields: list[str], weight: str) -> DataFrame:
+def _met_at(pairs: DataFrame, facts: DataFrame, fields: list[str], weight: str, size: int) -> DataFrame:
     """For every pair (a, b) the facts of both ends, in order: a's row, with b null, before those of its b.
 
     The pairs of one a are dealt to blocks by their number and the ``weight``
     (bytes) of a's facts, so an id that meets a third of all others is spread
-    over many tasks; a's facts go once to each block.
+    over many tasks; a's facts go once to each block. Both tables are read by as
+    many tasks as the ``size`` of the facts (bytes) asks for, not one for each of
+    their files.
     """
+    readers = max(1, -(-size // READ_BYTES))
+    pairs, facts = pairs.coalesce(readers), facts.coalesce(readers)
     # linked ends are of like size, so a's weight speaks for b's
     heavy = pairs.groupBy("a").agg(F.count("*").alias("_n")).join(facts.select(F.col("id").alias("a"), F.col(weight).alias("_w")), "a")
     parts = F.ceil(F.greatest(F.col("_n") / PAIRS, F.col("_n") * F.col("_w") / PAIR_BYTES)).cast("int")
@@ -161,7 +167,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, sketches: DataFrame) -> Data
     n = ids.count()
     own = classes.select("id", "text_hash", "n").join(light(ids, n), "id")
     own = cut(_sketched(own, sketches, n).withColumn("n_bytes", 4 * F.size("sketch")), "sketches")
-    both = _met_at(pairs, own, ["n", "sketch"], "n_bytes")
+    both = _met_at(pairs, own, ["n", "sketch"], "n_bytes", 4 * RETAINED * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_a, a, top_a = 0, np.zeros(0, dtype=np.uint64), 0
@@ -190,7 +196,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     """Those of pairs (a, b) whose full sets are similar enough; docs: doc_id, text, text_hash."""
     pairs = cut(pairs, "pairs")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "text_hash", "n_bytes"), "id"), "ids")
-    n = ids.count()
+    n, size = ids.agg(F.count("*"), F.sum("n_bytes")).first()
     if not n:
         return pairs
     own = docs.select(F.col("doc_id").alias("id"), "text", "text_hash").join(light(ids.select("id", "text_hash", "n_bytes"), n), ["id", "text_hash"])
@@ -198,7 +204,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     own = cut(own.select("id", "n_bytes", "text"), "texts")
     if own.count() > n:
         own = own.dropDuplicates(["id"])
-    both = _met_at(pairs, own, ["text"], "n_bytes")
+    both = _met_at(pairs, own, ["text"], "n_bytes", size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.zeros(0, dtype=np.uint64)
