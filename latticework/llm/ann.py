@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, lean, light, narrow
 
-#: Rows of the sample; least and most centroids of a half; vectors and queries in a block.
-SAMPLE, LEAST_CENTROIDS, MOST_CENTROIDS, BLOCK, QUERIES = 20_000, 32, 1024, 4096, 2048
+#: Rows of the sample; least and most centroids of a half; vectors and queries in a block; blocks that a group of queries meets in one task.
+SAMPLE, LEAST_CENTROIDS, MOST_CENTROIDS, BLOCK, QUERIES, SHARED = 20_000, 32, 1024, 4096, 2048, 8
 #: Entries compared for a query: at least so many, and at most this share of all, unless the next cells are so many times as far.
 ENTRIES, SHARE, GAP, STEP = 1_000, 0.4, 1.5, 1.02
 #: Scores in single precision closer than this are compared again, summed in a fixed order.
@@ -201,7 +201,10 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, vector: str = "embeddin
     block = F.pmod(F.xxhash64("raw"), F.col("blocks")).cast("int").alias("block")
     blocks = index.join(F.broadcast(sized), "a").groupBy("a", block).agg(F.collect_list(F.struct("raw", "ids", "b")).alias("entries"))
     meets = probes.select(group, F.explode("meets").alias("a")).distinct()
-    paired = blocks.join(light(meets, groups * shape[0]), "a").join(asking, "group").select("a", "entries", "queries")
+    # a group's queries go to several tasks, each with some of the blocks that it meets
+    shares = max(1, -(-sum(int(-(-c // BLOCK)) for c in counts.sum(1)) // SHARED))
+    met = blocks.join(light(meets, groups * shape[0]), "a").withColumn("part", F.pmod(F.xxhash64("a", "block"), F.lit(shares)).cast("int"))
+    paired = met.join(asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), ["group", "part"]).select("a", "entries", "queries")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = sent.value[0]
