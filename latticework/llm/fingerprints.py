@@ -14,7 +14,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
-    held = _powers.get(base)
+    n, held = int(n), _powers.get(base)
     if held is None or len(held) < n:
         steps = np.full(max(1 << 16, 1 << (n - 1).bit_length()), base, dtype=np.uint64)
         steps[0] = 1

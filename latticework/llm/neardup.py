@@ -61,7 +61,7 @@ def sets(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np.ndarray]:
     words, counts = split_all([t.lower() if t else t for t in texts])
     hashes = word_hashes(words)
     rolled, out, at = windows(hashes, shingle), [], 0
-    for n in counts:
+    for n in counts.tolist():
         if n >= shingle:
             out.append(np.unique(rolled[at : at + n - shingle + 1]))
         else:

@@ -49,3 +49,11 @@ def test_odd_rows(spark):
     loose = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b")], "doc_id long, text string")
     assert [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(loose).orderBy("doc_id", "n_shingles").collect()] == [(None, None, True), (None, None, True), (1, 1, True)]
     assert run(docs.where("false")) == []
+
+
+def test_short_texts_in_a_new_worker(monkeypatch):
+    """Texts of fewer words than a shingle, before any power is known."""
+    from latticework.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "_powers", {})
+    assert [len(s) for s in neardup.sets([b"one two", None, b"", b"three"])] == [1, 0, 0, 1]
