@@ -51,10 +51,20 @@ def light(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for a Python worker that gives its free memory back at the end, as workers outlive their tasks."""
+    """``run`` for a Python worker that gives its free memory back after more than a batch, as workers outlive their tasks."""
 
     def each(batches: Iterator) -> Iterator:
-        yield from run(batches)
+        seen = 0
+
+        def counted() -> Iterator:
+            nonlocal seen
+            for batch in batches:
+                seen += getattr(batch, "nbytes", BATCH_BYTES)
+                yield batch
+
+        yield from run(counted())
+        if seen < BATCH_BYTES:
+            return
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
