@@ -40,6 +40,10 @@ SAMPLE, LEAST_CENTROIDS, MOST_CENTROIDS, BLOCK, QUERIES, SHARED = 20_000, 32, 10
 ENTRIES, SHARE, GAP, STEP = 1_000, 0.4, 1.5, 1.02
 #: Scores in single precision closer than this are compared again, summed in a fixed order.
 NEAR = 1e-5
+#: Distances of one pair that were taken in different batches differ by less than this.
+ROUNDING = 1e-9
+#: Rows whose distances to all centroids are held at a time.
+ROWS = 1024
 
 
 @dataclass
@@ -54,7 +58,8 @@ class Codebooks:
         return [np.maximum((p * p).sum(1)[:, None] - 2 * p @ c.T + (c * c).sum(1)[None], 0.0) for p, c in zip(parts, self.halves, strict=True)]
 
     def cells(self, x: np.ndarray) -> list[np.ndarray]:
-        return [d.argmin(1).astype(np.int32) for d in self.distances(x)]
+        parts = [[d.argmin(1).astype(np.int32) for d in self.distances(x[i : i + ROWS])] for i in range(0, max(1, len(x)), ROWS)]
+        return [np.concatenate(half) for half in zip(*parts, strict=True)]
 
 
 def units(raw: bytes, dim: int, kind: str) -> np.ndarray:
@@ -68,15 +73,28 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 15) -> np.ndarray
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        own = ((centres * centres).sum(1)[None] - 2 * x @ centres.T).argmin(1)
+        size = (centres * centres).sum(1)[None]
+        own = np.concatenate([(size - 2 * x[i : i + ROWS] @ centres.T).argmin(1) for i in range(0, len(x), ROWS)])
         centres = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
     return centres
 
 
-def fit(entries: DataFrame, dim: int, kind: str, centroids: int, sample: int = SAMPLE) -> Codebooks:
-    """Centroids from the ``sample`` entries (raw) with the smallest hash."""
-    rows = entries.select("raw", F.xxhash64("raw").alias("_h")).orderBy("_h").limit(sample).select("raw").collect()
-    x = units(b"".join(r["raw"] for r in rows), dim, kind) if rows else np.zeros((1, dim))
+def sampled(entries: DataFrame, n: int, sample: int) -> DataFrame:
+    """The ``sample`` of ``n`` entries (raw) with the smallest hash.
+
+    Hashes are even, so a bound lets little more than the sample through: else
+    every task would send as many rows as the whole sample has.
+    """
+    hashed = entries.select("raw", F.xxhash64("raw").alias("_h"))
+    share = (sample + 10 * sample**0.5 + 100) / max(n, 1)
+    low = hashed.where(F.col("_h") <= int((share - 0.5) * 2.0**64)) if share < 1 else hashed
+    return low.orderBy("_h").limit(sample).select("raw")
+
+
+def fit(entries: DataFrame, n: int, dim: int, kind: str, centroids: int, sample: int = SAMPLE) -> Codebooks:
+    """Centroids from the ``sample`` of ``n`` entries (raw) with the smallest hash."""
+    rows = sampled(entries, n, sample).toArrow().column("raw").to_pylist()
+    x = units(b"".join(rows), dim, kind) if rows else np.zeros((1, dim))
     return Codebooks([kmeans(x[:, : dim // 2], centroids), kmeans(x[:, dim // 2 :], centroids, 1)], dim)
 
 
@@ -163,7 +181,7 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, vector: str = "embeddin
     entries = cut(entries, "entries")
     n = entries.count()
     centroids = centroids or min(MOST_CENTROIDS, max(LEAST_CENTROIDS, 1 << max(0, round(np.log2(max(n, 1) ** 0.5 / 2)))))
-    books = fit(entries, dim, kind, centroids, sample)
+    books = fit(entries, n, dim, kind, centroids, sample)
     shape = tuple(len(h) for h in books.halves)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,23 +192,23 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, vector: str = "embeddin
 
     index = cut(entries.mapInArrow(lean(assign), "raw binary, ids array<long>, a int, b int"), "index")
     counts = np.zeros(shape, dtype=np.int64)
-    # at most centroids x centroids rows
-    for r in index.groupBy("a", "b").agg(F.count("*").alias("n")).collect():
-        counts[r["a"], r["b"]] = r["n"]
+    # at most centroids x centroids rows, which come as columns: a million Row objects would fill the driver
+    filled = index.groupBy("a", "b").agg(F.count("*").alias("n")).toArrow()
+    counts[filled["a"].to_numpy(), filled["b"].to_numpy()] = filled["n"].to_numpy()
     most = max(entries_least, int(share * n), k + 1)
     sent = spark.sparkContext.broadcast((books, counts))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, counts = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = books.distances(units(b"".join(batch.column(1).to_pylist()), dim, kind))
-            reach = [walk([d[i] for d in near], counts, max(entries_least, k + 1), most) for i in range(batch.num_rows)]
-            # first centroids that have a cell within reach
-            least = near[1].min(1)
-            meets = [np.flatnonzero(near[0][i] + least[i] <= reach[i]).astype(np.int32) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reach, pa.float64()), pa.array(meets, pa.list_(pa.int32()))], names=["query_id", "qraw", "reach", "meets"])
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                near = books.distances(units(b"".join(part.column(1).to_pylist()), dim, kind))
+                # the last cell lies exactly at the walk's end, and compare takes its distance again, in another batch
+                reach = [walk([d[i] for d in near], counts, max(entries_least, k + 1), most) + ROUNDING for i in range(part.num_rows)]
+                # first centroids that have a cell within reach
+                least = near[1].min(1)
+                meets = [np.flatnonzero(near[0][i] + least[i] <= reach[i]).astype(np.int32) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(reach, pa.float64()), pa.array(meets, pa.list_(pa.int32()))], names=["query_id", "qraw", "reach", "meets"])
 
     asked = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("raw").alias("qraw"))
     probes = cut(asked.mapInArrow(lean(probe), "query_id long, qraw binary, reach double, meets array<int>"), "probes")
