@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from latticework.storage import BROADCAST_ROWS, cut, shared_dir, small
 
-__all__ = ["BROADCAST_ROWS", "UPPER", "WORD", "ascii_lower", "cut", "fresh", "lean", "light", "narrow", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "UPPER", "WORD", "ascii_lower", "cut", "fresh", "lean", "light", "narrow", "shared_dir", "small", "table", "trim"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,12 +63,16 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
                 yield batch
 
         yield from run(counted())
-        if seen < BATCH_BYTES:
-            return
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        if seen >= BATCH_BYTES:
+            trim()
 
     return each
+
+
+def trim() -> None:
+    """Give this process's free memory back."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

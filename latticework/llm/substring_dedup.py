@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, light, narrow
+from .common import BATCH_BYTES, cut, lean, light, narrow, trim
 from .fingerprints import mixed, sliding_min, split_all, windows, word_hashes
 
 #: Words of a window; words of the groups of which the least is the anchor.
@@ -38,6 +38,8 @@ ROWS, CELLS_PER_WORD, LEAST_BITS, MOST_BITS = 2, 0.5, 16, 28
 BLOCKS = 64
 #: Bytes of text hashed at a time, windows held before a slice ends, windows aimed at in a bucket.
 SLICE, HELD, BUCKET = 1 << 19, 2_000_000, 1_000_000
+#: Windows sorted at a time.
+SORTED = 1 << 17
 #: A null doc_id counts as larger than all others.
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
@@ -152,6 +154,23 @@ def _least(hashes: np.ndarray, anchors: np.ndarray, docs: np.ndarray) -> np.ndar
     return out
 
 
+def _late(hashes: np.ndarray, run: np.ndarray, anchors: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which windows a smaller document has too; each has a hash and its run's number, runs have anchors and documents.
+
+    Equal windows are in one part of the hashes, so a part is sorted by itself.
+    """
+    out = np.zeros(len(hashes), dtype=bool)
+    parts = min(255, -(-len(hashes) // SORTED))
+    own = np.empty(len(hashes), dtype=np.uint8)
+    for x in range(0, len(hashes), SORTED):
+        own[x : x + SORTED] = (hashes[x : x + SORTED] >> _U(32)) % _U(parts)
+    for k in range(parts):
+        at = np.flatnonzero(own == k)
+        doc = docs[run[at]]
+        out[at] = doc > _least(hashes[at], anchors[run[at]], doc)
+    return out
+
+
 def _stretches(keys: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(key, packed pairs of first place and number) from entries in any order."""
     if not len(keys):
@@ -168,6 +187,67 @@ def _stretches(keys: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, byte
         yield int(owner[x]), pairs[x:y].tobytes()
 
 
+def _entries(held: list[tuple], own_ids: list[tuple[int, int]], buckets: int) -> Iterator[list[tuple]]:
+    """Rows of a slice for ``repeats``, some BATCH_BYTES at a time; empties ``held`` and ``own_ids``.
+
+    ``held`` has, for some texts each, the runs' documents (places in
+    ``own_ids``), first places, lengths and anchors, and all windows' hashes.
+    """
+    if not held:
+        return
+    h = np.concatenate([x[-1] for x in held])
+    doc, place, length, anchor = (np.concatenate(c) for c in list(zip(*held, strict=True))[:-1])
+    ids = own_ids[:]
+    held.clear()
+    own_ids.clear()
+    begin = np.cumsum(length) - length
+    run = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    late = _late(h, run, anchor, np.array([i for i, _ in ids], dtype=np.int64)[doc])
+    at = np.flatnonzero(late)
+    rows = [(None, *ids[k], None, None, None, None, s) for k, s in _stretches(doc[run[at]], place[run[at]] + at - begin[run[at]])]
+    # what is left of the runs, dealt out by the anchor
+    at = np.flatnonzero(~late)
+    del late
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (run[at[1:]] != run[at[:-1]]) | (at[1:] != at[:-1] + 1)
+    starts = np.flatnonzero(new)
+    length, first = np.diff(np.append(starts, len(at))), at[starts]
+    del at, new, starts
+    own = run[first]
+    del run
+    doc, place, anchor = doc[own], place[own] + first - begin[own], anchor[own]
+    bucket = (mixed(anchor) % _U(buckets)).astype(np.int64)
+    order = np.lexsort((doc, bucket))
+    edge = np.ones(len(order), dtype=bool)
+    edge[1:] = (bucket[order][1:] != bucket[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    cuts = np.flatnonzero(edge)
+    size = sum(len(r[-1]) for r in rows)
+    for x, y in zip(cuts, np.append(cuts[1:], len(order))[: len(cuts)], strict=True):
+        runs = order[x:y]
+        hashes = b"".join(h[first[r] : first[r] + length[r]].tobytes() for r in runs)
+        rows.append((int(bucket[runs[0]]), *ids[doc[runs[0]]], place[runs].astype("<i4").tobytes(), length[runs].astype("<i4").tobytes(), anchor[runs].tobytes(), hashes, None))
+        size += len(hashes) + 16 * len(runs)
+        if size >= BATCH_BYTES:
+            yield rows
+            rows, size = [], 0
+    yield rows
+
+
+def _settled(part: pd.DataFrame) -> list[tuple]:
+    """(doc_id, text_hash, stretches) of a bucket's windows that a smaller document has."""
+    counts = np.array([len(x) // 4 for x in part["n"]])
+    length = np.frombuffer(b"".join(part["n"]), "<i4").astype(np.int64)
+    place = np.frombuffer(b"".join(part["place"]), "<i4").astype(np.int64)
+    anchor = np.frombuffer(b"".join(part["anchor"]), "<u8")
+    h = np.frombuffer(b"".join(part["hashes"]), "<u8")
+    row = np.repeat(np.arange(len(part)), counts)
+    run = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    at = np.flatnonzero(_late(h, run, anchor, part["doc_id"].to_numpy(dtype=np.int64)[row]))
+    own = run[at]
+    ids, marks = part["doc_id"].to_numpy(), part["text_hash"].to_numpy()
+    return [(ids[k], marks[k], s) for k, s in _stretches(row[own], place[own] + at - (np.cumsum(length) - length)[own])]
+
+
 def repeats(docs: DataFrame, bitmaps: np.ndarray, bits: int, buckets: int, width: int) -> DataFrame:
     """(doc_id, text_hash, stretches) of the windows that an earlier document has."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
@@ -183,61 +263,29 @@ def repeats(docs: DataFrame, bitmaps: np.ndarray, bits: int, buckets: int, width
         held: list[tuple] = []
         own_ids: list[tuple[int, int]] = []
         n = 0
-
-        def flush() -> pa.RecordBatch:
-            doc, place, h, anchor = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 4
-            ids = np.array([i for i, _ in own_ids], dtype=np.int64)
-            found = ids[doc] if len(doc) else doc
-            first = _least(h, anchor, found) == found
-            rows = [(None, *own_ids[k], None, None, None, None, s) for k, s in _stretches(doc[~first], place[~first])]
-            doc, place, h, anchor = doc[first], place[first], h[first], anchor[first]
-            # runs: neighbours of one document and anchor, dealt out by the anchor
-            new = np.ones(len(doc), dtype=bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1] + 1)
-            starts = np.flatnonzero(new)
-            length = np.diff(np.append(starts, len(doc)))
-            bucket = (mixed(anchor[starts].astype(np.uint64)) % _U(buckets)).astype(np.int64)
-            order = np.lexsort((doc[starts], bucket))
-            edge = np.ones(len(order), dtype=bool)
-            keyed = bucket[order], doc[starts][order]
-            edge[1:] = (keyed[0][1:] != keyed[0][:-1]) | (keyed[1][1:] != keyed[1][:-1])
-            cuts = np.flatnonzero(edge)
-            for x, y in zip(cuts, np.append(cuts[1:], len(order))[: len(cuts)], strict=True):
-                runs = order[x:y]
-                hashes = b"".join(h[starts[r] : starts[r] + length[r]].tobytes() for r in runs)
-                rows.append((int(bucket[runs[0]]), *own_ids[doc[starts[runs[0]]]], place[starts[runs]].astype("<i4").tobytes(), length[runs].astype("<i4").tobytes(), anchor[starts[runs]].tobytes(), hashes, None))
-            held.clear()
-            own_ids.clear()
-            return record(rows)
-
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NO_ID).to_pylist()
             text_hashes = batch.column("text_hash").to_pylist()
             for first, texts in slices(batch):
                 w = Windows(texts, width)
-                good = np.repeat(estimated(w.anchor[w.starts], sent.value, bits), np.diff(np.append(w.starts, len(w.row))))
-                at = np.flatnonzero(good)
-                if len(at):
-                    held.append((w.row[at] + len(own_ids), w.place[at], w.hash[at], w.anchor[at]))
+                length = np.diff(np.append(w.starts, len(w.row)))
+                good = estimated(w.anchor[w.starts], sent.value, bits)
+                if good.any():
+                    at = w.starts[good]
+                    held.append((w.row[at] + len(own_ids), w.place[at], length[good], w.anchor[at], w.hash[np.repeat(good, length)]))
                     own_ids += zip(ids[first : first + len(texts)], text_hashes[first : first + len(texts)], strict=True)
-                    n += len(at)
+                    n += len(held[-1][-1])
                 if n > HELD:
-                    yield flush()
+                    yield from map(record, _entries(held, own_ids, buckets))
                     n = 0
-        yield flush()
+        yield from map(record, _entries(held, own_ids, buckets))
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
-        counts = np.array([len(x) // 4 for x in part["n"]])
-        length = np.frombuffer(b"".join(part["n"]), "<i4").astype(np.int64)
-        place = np.frombuffer(b"".join(part["place"]), "<i4").astype(np.int64)
-        anchor = np.repeat(np.frombuffer(b"".join(part["anchor"]), "<u8"), length)
-        h = np.frombuffer(b"".join(part["hashes"]), "<u8")
-        row = np.repeat(np.repeat(np.arange(len(part)), counts), length)
-        place = np.repeat(place - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        ids = part["doc_id"].to_numpy(dtype=np.int64)[row]
-        late = ids > _least(h, anchor, ids)
-        out = [(part["doc_id"].iloc[k], part["text_hash"].iloc[k], s) for k, s in _stretches(row[late], place[late])]
-        return pd.DataFrame(out, columns=["doc_id", "text_hash", "stretches"])
+        out = pd.DataFrame(_settled(part), columns=["doc_id", "text_hash", "stretches"])
+        # a worker has many buckets, one after the other
+        if part["hashes"].map(len).sum() >= BATCH_BYTES:
+            trim()
+        return out
 
     found = cut(docs.select("doc_id", "text", "text_hash").mapInArrow(lean(group), schema), "windows")
     open_ = dealt(found.where("bucket is not null").drop("stretches"))

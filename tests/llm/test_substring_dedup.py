@@ -1,4 +1,8 @@
 import random
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +68,33 @@ def brute_removed(texts, width=50):
         gone = {p for i in range(len(w) - width + 1) if first[tuple(w[i : i + width])] < k for p in range(i, i + width)}
         out[k] = (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
     return out
+
+
+def test_workers_hold_little():
+    """Two million windows of a slice or a bucket take a worker a small multiple of their hashes, and rows go on in small batches."""
+    rng = np.random.default_rng(3)
+    n, each, docs = 100_000, 20, 500
+    h = rng.integers(0, 1 << 63, n * each // 2, dtype=np.uint64)
+    anchor = rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)
+    doc = np.arange(n) // (n // docs)
+    runs = (doc, np.arange(n) % (n // docs) * each, np.full(n, each), np.tile(anchor, 2), np.tile(h, 2))
+    ids = [(docs - k, k) for k in range(docs)]
+    tracemalloc.start()
+    batches, sent, late = 0, 0, 0
+    for rows in substring_dedup._entries([runs], list(ids), 3):
+        batches += 1
+        assert sum(len(r[6] or b"") for r in rows) < 8e6
+        sent += sum(len(r[6] or b"") // 8 for r in rows)
+        late += sum(int(np.frombuffer(r[7], "<i4").reshape(-1, 2)[:, 1].sum()) for r in rows if r[0] is None)
+        assert all(r[1] > docs // 2 for r in rows if r[0] is None) and all(r[1] <= docs // 2 for r in rows if r[0] is not None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == late == n * each // 2 and batches > 1 and peak < 140e6
+    step = n // docs
+    part = pd.DataFrame([(*ids[k], *(c[k * step : (k + 1) * step].astype(t).tobytes() for c, t in zip(runs[1:4], ("<i4", "<i4", "<u8"), strict=True)), runs[4][k * step * each : (k + 1) * step * each].tobytes()) for k in range(docs)], columns=["doc_id", "text_hash", "place", "n", "anchor", "hashes"])
+    tracemalloc.start()
+    out = substring_dedup._settled(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(int(np.frombuffer(s, "<i4").reshape(-1, 2)[:, 1].sum()) for _, _, s in out) == late and {i for i, _, _ in out} == set(range(docs // 2 + 1, docs + 1))
+    assert peak < 140e6
