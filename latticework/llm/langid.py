@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, lean, narrow, small
+from .common import cut, fresh, lean, narrow, small, trim
 
 UNKNOWN = "und"
 #: Hashed features, largest n-gram, centroids per language, labelled rows per language.
@@ -169,24 +169,31 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROID
     kind = labelled.schema["doc_id"].dataType.simpleString()
     got = sample.select("lang", "doc_id", "text").mapInPandas(lean(featurise), f"lang string, doc_id {kind}, at binary, n binary, codes binary, times binary, start binary").collect()
     got = sorted((r for r in got if len(r["at"])), key=lambda r: (r["lang"], str(r["doc_id"]), bytes(r["at"])))
-    many = np.zeros((len(got), FEATURES), dtype=np.float32)
-    for row, r in zip(many, got, strict=True):
-        row[np.frombuffer(r["at"], "<i2")] = np.frombuffer(r["n"], "<i4")
-    idf = np.log((1 + len(got)) / (1 + (many > 0).sum(axis=0))) + 1
+    holders = np.zeros(FEATURES, dtype=np.int64)
+    for r in got:
+        holders[np.frombuffer(r["at"], "<i2")] += 1
+    idf = np.log((1 + len(got)) / (1 + holders)) + 1
     model = Model([], np.zeros((0, FEATURES)), idf, np.zeros(0), np.zeros((0, 1 << PROFILE_BITS), dtype=bool), np.zeros((0, 2)))
-    x, langs = model.vectors(many), np.array([r["lang"] for r in got])
-    for lang in sorted(set(langs)):
-        own = x[langs == lang]
+    # the vectors of one language are held at a time
+    for lang in sorted({r["lang"] for r in got}):
+        drawn = [r for r in got if r["lang"] == lang]
+        own, many = np.zeros((len(drawn), FEATURES)), np.zeros(FEATURES, dtype=np.float32)
+        for row, r in zip(own, drawn, strict=True):
+            many[:] = 0
+            many[np.frombuffer(r["at"], "<i2")] = np.frombuffer(r["n"], "<i4")
+            row[:] = model.vectors(many)
         centres, of = spherical_kmeans(own, centroids)
-        cosines = np.einsum("ij,ij->i", own, centres[of])
+        cosines = np.array([np.einsum("ij,ij->i", own[k : k + 1], centres[of[k : k + 1]])[0] for k in range(len(own))])
         model.langs += [lang] * len(centres)
         model.centroids = np.vstack([model.centroids, centres])
         # no clustered centroid is stricter than the loosest of its language
         model.least = np.append(model.least, [max(0.0, cosines.min() - MARGIN)] * len(centres))
-        rows = [(np.frombuffer(r["codes"], "<i4"), np.frombuffer(r["times"], "<i2"), np.frombuffer(r["start"], "<i4")) for r in got if r["lang"] == lang]
+        rows = [(np.frombuffer(r["codes"], "<i4"), np.frombuffer(r["times"], "<i2"), np.frombuffer(r["start"], "<i4")) for r in drawn]
         known, shares = profile(rows)
         model.known, model.shares = np.vstack([model.known, known]), np.vstack([model.shares, shares])
     model.centroids, model.idf = model.centroids.astype(np.float32), idf.astype(np.float32)
+    got = own = drawn = rows = None
+    trim()
     return model
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -78,3 +79,13 @@ def test_a_filter_does_not_predict_again(spark, sf):
     kept = langid.identify(docs, langid.fit(docs)).where("not rejected").select("doc_id", "lang_pred")
     assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
     assert 0 < kept.count() <= docs.count()
+
+
+def test_fit_holds_little(spark):
+    """The driver holds the vectors of one language at a time, not of all of them three times over."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    tracemalloc.start()
+    model = langid.fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(model.langs)) == 4 and peak < 80e6
