@@ -222,7 +222,9 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, vector: str = "embeddin
     # a group's queries go to several tasks, each with some of the blocks that it meets
     shares = max(1, -(-sum(int(-(-c // BLOCK)) for c in counts.sum(1)) // SHARED))
     met = blocks.join(light(meets, groups * shape[0]), "a").withColumn("part", F.pmod(F.xxhash64("a", "block"), F.lit(shares)).cast("int"))
-    paired = met.join(asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), ["group", "part"]).select("a", "entries", "queries")
+    # merged, never broadcast: before the copies for the parts a group's queries look small, and all copies would go through the driver
+    copies = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    paired = met.join(copies.hint("merge"), ["group", "part"]).select("a", "entries", "queries")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = sent.value[0]

@@ -88,3 +88,16 @@ def test_driver_holds_little(spark):
     passed = [int(x) for x in re.findall(r"<= (-?\d+)", found._jdf.queryExecution().optimizedPlan().toString())]
     assert passed and entries.where(F.xxhash64("raw") <= passed[0]).count() < 900
     assert len(ann.sampled(entries, 20_000, 30_000).collect()) == 20_000
+
+
+def test_copies_of_queries_are_not_broadcast(spark, monkeypatch):
+    """The queries of a group are copied for every part that compares them; a broadcast would bring all copies to the driver."""
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(600)]
+    df = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    want, got = exact(rows), found(df)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    df.collect()
+    joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "group#" in line]
+    assert joins and not any("Broadcast" in line and "part#" in line for line in joins), joins
