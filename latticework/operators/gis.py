@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from latticework.functions import numeric
 from latticework.model import sha256, table_hash
-from latticework.storage import collected
+from latticework.storage import collected, cut
 
 from .graph import MOST_EDGES, components, shortest
+from .reach import Counts, meet, tiled
 from .statistics import Permutations, draws
 from .topology import within
 
@@ -102,12 +103,12 @@ def pair_enrichment(events: DataFrame, domain: DataFrame, radii: list[float], di
     events (ord, n) count events at domain elements; a finite domain needs no
     edge correction.
     """
-    near = within(domain, domain, max(radii), dims).where("i <> j")
     totals = events.agg(F.sum("n").alias("n")).first()["n"]
-    size = domain.count()
-    met = near.join(events.select(F.col("ord").alias("i"), F.col("n").alias("ni")), "i", "left").join(events.select(F.col("ord").alias("j"), F.col("n").alias("nj")), "j", "left").fillna(0, ["ni", "nj"])
-    each = met.withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii]))).where("distance <= radius")
-    out = each.groupBy("radius").agg(F.sum(F.col("ni") * F.col("nj")).cast("double").alias("observed"), F.count("*").alias("pairs"))
+    size, spark = domain.count(), domain.sparkSession
+    own = cut(domain.select("ord", *dims).join(events.select("ord", "n"), "ord", "left").fillna(0, ["n"]), "domain")
+    found = meet(tiled(own, dims), own.drop(*dims), own, max(radii), lambda: Counts(sorted({float(r) for r in radii})), "radius double, observed double, pairs long", half=True)
+    each = found.groupBy("radius").agg((2 * F.sum("observed")).alias("observed"), (2 * F.sum("pairs")).alias("pairs"))
+    out = each.join(F.broadcast(spark.createDataFrame([(float(r),) for r in radii], "radius double")), "radius").where("pairs > 0")
     expected = F.col("pairs") * float(totals) ** 2 / float(size * size)
     return out.select("radius", "observed", expected.alias("expected"), F.try_divide("observed", expected).alias("enrichment"))
 
