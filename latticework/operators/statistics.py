@@ -22,6 +22,7 @@ from latticework.model import Dataset, ranked
 from latticework.storage import collected
 
 from .graph import csr, dot, shells
+from .reach import binned_gaps
 from .topology import styled, within
 
 #: Draws at most; pairs of a variogram without a largest distance.
@@ -168,6 +169,12 @@ def variogram_pairs(values: DataFrame, at: DataFrame, most: float, dims: str = "
     return near.select("distance", (0.5 * (F.col("v_i") - F.col("v_j")) ** 2).alias("gamma"))
 
 
+def binned_within(values: DataFrame, at: DataFrame, most: float, breaks: int | list[float] = 10, dims: str = "xyz") -> DataFrame:
+    """``binned`` of ``variogram_pairs``, without a row for any pair: tasks send sums of bins."""
+    edges = [float(most) * k / breaks for k in range(breaks + 1)] if isinstance(breaks, int) else list(breaks)
+    return binned_gaps(values, at, ["value"], most, edges, dims, [(0, 0)]).select("bin", "distance", "gamma", "n")
+
+
 def binned(pairs: DataFrame, breaks: int | list[float] = 10, most: float | None = None) -> DataFrame:
     """(bin, distance, gamma, n): equal bins from 0, closed on the right, the first with 0; mean distance inside a bin; no empty bins."""
     if isinstance(breaks, int):
@@ -190,7 +197,8 @@ def variogram(x: Dataset, layer: int | str = 0, breaks: int | list[float] = 10,
         if (wanted := n * (n - 1) // 2) > pairs:
             raise ValueError(f"{wanted} pairs; the limit is {pairs}: give a largest distance")
         reach = max(sum(v * v for v in ends if v is not None) ** 0.5, 1e-300)
-    return binned(variogram_pairs(x.layer(layer), at, reach, dims), breaks, most)
+    # without a largest distance the last bin ends at the farthest pair, which only the pairs tell
+    return binned(variogram_pairs(x.layer(layer), at, reach, dims), breaks) if most is None else binned_within(x.layer(layer), at, most, breaks, dims)
 
 
 def draws(spark, n: int, seed: int | None, run: Callable[[int, np.random.Generator], list[tuple]], schema: str, parts: int | None = None) -> DataFrame:  # noqa: ANN001
