@@ -7,7 +7,10 @@ import json
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +27,53 @@ def _sha(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def _market(rows: list[tuple[int, int, float]], shape: tuple[int, int]) -> bytes:
-    return (HEADER + f"{shape[0]} {shape[1]} {len(rows)}\n" + "".join(f"{i + 1} {j + 1} {v!r}\n" for i, j, v in rows)).encode()
+#: Entries that the driver holds at a time.
+SLAB = 1_000_000
 
 
-def _entries(df: DataFrame, column: str = "weight") -> list[tuple[int, int, float]]:
-    t = collected(df.select("target_ord", "source_ord", F.col(column).alias("v")))
-    return sorted(zip(t["target_ord"].tolist(), t["source_ord"].tolist(), t["v"].tolist(), strict=True), key=lambda r: (r[1], r[0]))
+def _slabs(df: DataFrame, chunk: int) -> Iterator[tuple[int, int]]:
+    """Ranges of sources in order, whole chunks, of about SLAB entries at most (or one chunk)."""
+    sizes = df.groupBy(F.floor(F.col("source_ord") / chunk).alias("c")).agg(F.count("*").alias("n")).toPandas().sort_values("c")
+    start = held = 0
+    for c, n in zip(sizes["c"].tolist(), sizes["n"].tolist(), strict=True):
+        if held and held + n > SLAB:
+            yield start * chunk, c * chunk
+            start, held = c, 0
+        held += n
+    if held:
+        yield start * chunk, (int(sizes["c"].iloc[-1]) + 1) * chunk
+
+
+def _entries(df: DataFrame, column: str = "weight", chunk: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(targets, sources, values) in the order of sources, then targets, a slab of whole chunks at a time."""
+    for start, stop in _slabs(df, chunk):
+        part = df.where((F.col("source_ord") >= start) & (F.col("source_ord") < stop))
+        t = collected(part.select("target_ord", "source_ord", F.col(column).cast("double").alias("v"))).sort_values(["source_ord", "target_ord"], kind="stable")
+        yield t["target_ord"].to_numpy(), t["source_ord"].to_numpy(), t["v"].to_numpy()
+
+
+def _lines(targets: np.ndarray, sources: np.ndarray, values: np.ndarray) -> str:
+    return "".join(f"{i + 1} {j + 1} {v!r}\n" for i, j, v in zip(targets.tolist(), sources.tolist(), values.tolist(), strict=True))
+
+
+def _whole(df: DataFrame, shape: tuple[int, int], column: str = "weight") -> bytes:
+    n, parts = 0, []
+    for t, s, v in _entries(df, column):
+        n += len(t)
+        parts.append(_lines(t, s, v))
+    return (HEADER + f"{shape[0]} {shape[1]} {n}\n" + "".join(parts)).encode()
+
+
+def _supports(m: SupportMap) -> dict[str, list]:
+    """The support's columns in the order of sources, as the descriptions hold them."""
+    found: list[tuple] = []
+    for start, stop in _slabs(m.support, 100_000):
+        found.append(collected(m.support.where((F.col("source_ord") >= start) & (F.col("source_ord") < stop)).select("source_ord", "support").orderBy("source_ord")))
+    return {"source_ord": [v for t in found for v in t["source_ord"].tolist()], "source_support": [v for t in found for v in t["support"].tolist()]}
+
+
+def _given(spark: SparkSession, about: dict) -> DataFrame:
+    return spark.createDataFrame(pa.table({"source_ord": pa.array(about["source_ord"], pa.int64()), "support": pa.array(map(float, about["source_support"]), pa.float64())}))
 
 
 def _shape(m: SupportMap) -> tuple[int, int]:
@@ -42,11 +85,10 @@ def _shape(m: SupportMap) -> tuple[int, int]:
 def write_map(m: SupportMap, path: str, overwrite: bool = False) -> None:
     """``path``.mtx (and ``path``.var.mtx) with ``path``.json."""
     shape = _shape(m)
-    atomic(f"{path}.mtx", _market(_entries(m.weights), shape), overwrite)
+    atomic(f"{path}.mtx", _whole(m.weights, shape), overwrite)
     if "weight_var" in m.weights.columns:
-        atomic(f"{path}.var.mtx", _market(_entries(m.weights, "weight_var"), shape), overwrite)
-    s = collected(m.support.orderBy("source_ord"))
-    atomic(f"{path}.json", json.dumps({"schema": 1, "type": m.kind, "coverage": m.coverage, "shape": shape, "source_ord": s["source_ord"].tolist(), "source_support": s["support"].tolist()}).encode(), overwrite)
+        atomic(f"{path}.var.mtx", _whole(m.weights, shape, "weight_var"), overwrite)
+    atomic(f"{path}.json", json.dumps({"schema": 1, "type": m.kind, "coverage": m.coverage, "shape": shape, **_supports(m)}).encode(), overwrite)
 
 
 def _read_market(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -66,7 +108,7 @@ def read_map(spark: SparkSession, path: str) -> SupportMap:
     weights = _read_market(spark, [f"{path}.mtx"])
     if os.path.exists(f"{path}.var.mtx"):
         weights = weights.join(_read_market(spark, [f"{path}.var.mtx"]).withColumnRenamed("weight", "weight_var"), ["target_ord", "source_ord"], "left")
-    support = spark.createDataFrame(list(zip(about["source_ord"], map(float, about["source_support"]), strict=True)), "source_ord long, support double")
+    support = _given(spark, about)
     return SupportMap(weights, support, about["type"], about["coverage"])
 
 
@@ -76,12 +118,20 @@ def write_bundle(m: SupportMap, path: str, chunk: int = 100_000, overwrite: bool
         raise FileExistsError(path)
     part, shape, chunks = f"{path}.{uuid.uuid4().hex}", _shape(m), []
     os.makedirs(part)
-    for n, start in enumerate(range(0, shape[1], chunk)):
-        stop, name = min(start + chunk, shape[1]), f"chunk-{n:05d}.mtx"
-        atomic(f"{part}/{name}", _market(_entries(m.weights.where((F.col("source_ord") >= start) & (F.col("source_ord") < stop))), shape))
-        chunks.append({"file": name, "start": start, "stop": stop, "sha256": _sha(f"{part}/{name}"), "size": os.path.getsize(f"{part}/{name}")})
-    s = collected(m.support.orderBy("source_ord"))
-    atomic(f"{part}/manifest.json", json.dumps({"schema": 2, "type": m.kind, "coverage": m.coverage, "shape": shape, "chunks": chunks, "source_ord": s["source_ord"].tolist(), "source_support": s["support"].tolist()}).encode())
+
+    def chunked(stop: int, t: np.ndarray, s: np.ndarray, v: np.ndarray) -> None:
+        """The chunks up to ``stop``, empty ones too, of entries in order."""
+        while (start := len(chunks) * chunk) < stop:
+            end, name = min(start + chunk, shape[1]), f"chunk-{len(chunks):05d}.mtx"
+            a, z = np.searchsorted(s, [start, end])
+            atomic(f"{part}/{name}", (HEADER + f"{shape[0]} {shape[1]} {z - a}\n" + _lines(t[a:z], s[a:z], v[a:z])).encode())
+            chunks.append({"file": name, "start": start, "stop": end, "sha256": _sha(f"{part}/{name}"), "size": os.path.getsize(f"{part}/{name}")})
+
+    none = np.zeros(0, dtype=np.int64)
+    for t, s, v in _entries(m.weights, chunk=chunk):
+        chunked(min((int(s[-1]) // chunk + 1) * chunk, shape[1]), t, s, v)
+    chunked(shape[1], none, none, none)
+    atomic(f"{part}/manifest.json", json.dumps({"schema": 2, "type": m.kind, "coverage": m.coverage, "shape": shape, "chunks": chunks, **_supports(m)}).encode())
     if os.path.exists(path):
         shutil.rmtree(path)
     os.rename(part, path)
@@ -105,7 +155,7 @@ def validate_bundle(path: str) -> dict:
 def read_bundle(spark: SparkSession, path: str) -> SupportMap:
     about = validate_bundle(path)
     weights = _read_market(spark, [os.path.join(path, c["file"]) for c in about["chunks"]])
-    support = spark.createDataFrame(list(zip(about["source_ord"], map(float, about["source_support"]), strict=True)), "source_ord long, support double")
+    support = _given(spark, about)
     return SupportMap(weights, support, about["type"], about["coverage"])
 
 
