@@ -365,13 +365,22 @@ def migrate_legacy(spark: SparkSession, container: dict, strict: bool = True) ->
     return replace(found, history=({"operation": "source", "provenance": container["provenance"]},)).noted("migrate_legacy", type=domain["type"])
 
 
+#: Rows that the driver holds at a time while it deals out blocks.
+SLAB = 1 << 20
+
+
 def value_blocks(x: Dataset, rows: int = 65_536, layers: Sequence[int | str] | None = None):
-    """Blocks of values by ordinal, one at a time on the driver; each is read by a pushed-down range."""
+    """Blocks of values by ordinal, one at a time on the driver; a pushed-down range reads as many of them at once as SLAB holds."""
     top = x.elements.agg(F.max("ord")).first()[0]
     chosen = [x.layer_ord(k) for k in layers] if layers is not None else None
-    for start in range(0, (-1 if top is None else top) + 1, rows):
-        part = x.values.where((F.col("ord") >= start) & (F.col("ord") < start + rows))
-        yield (part.where(F.col("layer_ord").isin(chosen)) if chosen is not None else part).toPandas()
+    end = (-1 if top is None else top) + 1
+    width = max(1, SLAB // max(1, len(chosen) if chosen is not None else x.layers.count()) // rows) * rows
+    for slab in range(0, end, width):
+        part = x.values.where((F.col("ord") >= slab) & (F.col("ord") < min(slab + width, end)))
+        held = (part.where(F.col("layer_ord").isin(chosen)) if chosen is not None else part).toPandas().sort_values("ord", kind="stable")
+        marks = np.searchsorted(held["ord"].to_numpy(), np.arange(slab, min(slab + width, end) + rows, rows))
+        for k in range(-(-(min(slab + width, end) - slab) // rows)):
+            yield held.iloc[marks[k] : marks[k + 1]].reset_index(drop=True)
 
 
 def capabilities(x: Dataset) -> dict[str, bool]:
@@ -486,11 +495,10 @@ def validate_relation(r: Relation, x: Dataset | None = None) -> bool:
     return True
 
 
-def planar_features(x: Dataset, feature: str = "element", chart: str | None = None, most: int = 100_000) -> DataFrame:
-    """Points or triangles of planar coordinates as well-known text, for at most ``most`` features."""
+def planar_features(x: Dataset, feature: str = "element", chart: str | None = None, most: int | None = None) -> DataFrame:
+    """Points or triangles of planar coordinates as well-known text, a row for each; more than ``most``, if that is given, are refused."""
     at = x.coordinates[chart] if chart else x.elements.select("ord", "x", "y")
-    source = x.faces if feature == "face" else at
-    if (n := source.count()) > most:
+    if most is not None and (n := (x.faces if feature == "face" else at).count()) > most:
         raise ValueError(f"{n} features; the limit is {most}")
     if feature == "element":
         return at.select("ord", F.format_string("POINT (%s %s)", F.col("x").cast("string"), F.col("y").cast("string")).alias("geometry"))
