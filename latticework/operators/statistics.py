@@ -271,7 +271,8 @@ def local_permutation_test(values: DataFrame, edges: DataFrame, control: Permuta
                 out.append((int(i), numeric.permutation_p(observed, null, -float(ww.sum()) / (n - 1), own.alternative)))
             yield pd.DataFrame(out, columns=["new", "p_value"])
 
-    p = new.select("new").mapInPandas(run, "new long, p_value double").join(new, "new").select(F.col("old").alias("ord"), "p_value")
+    # the ordinals come from one small table, so they are dealt out: else one task has them all
+    p = new.select("new").repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "new long, p_value double").join(new, "new").select(F.col("old").alias("ord"), "p_value")
     out = local_moran(values, edges).join(p, "ord")
     if control.adjust == "none":
         return out.withColumn("p_adjusted", F.col("p_value"))
