@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework import model
-from latticework.operators import multilayer, statistics, support, topology
+from latticework.operators import models, multilayer, statistics, support, topology
 from latticework.sources import exchange
 
 
@@ -74,3 +74,29 @@ def test_draws_of_elements_are_dealt_out(spark):
     lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(k for k, line in enumerate(lines) if "MapInPandas" in line)
     assert "Repartition" in lines[at + 1]
+
+
+def test_components_are_solved_by_themselves(spark, monkeypatch):
+    """Components of 1 to 4 elements, more elements than one dense matrix takes, batches that part them; against the whole matrix."""
+    monkeypatch.setattr(models, "DENSE", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        n, rng = 60, np.random.default_rng(5)
+        a = np.zeros((n, n))
+        for k in range(n - 1):
+            if k % 4 in (0, 1, 2) and k % 12 != 1:
+                a[k, k + 1] = a[k + 1, k] = rng.uniform(0.1, 1)
+        y = rng.normal(size=n)
+        values = spark.createDataFrame([(3 * k, float(v)) for k, v in enumerate(y)], "ord long, value double")
+        edges = spark.createDataFrame([(3 * int(i), 3 * int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "i long, j long, w_raw double")
+        s = np.linalg.inv(np.eye(n) / 4 + 2 * (np.diag(a.sum(1)) - 0.5 * a))
+        got = {r["ord"]: r for r in models.car_uncertainty(values, edges, 4.0, "proper", 0.5, 2.0).collect()}
+        assert [got[3 * k]["mean"] for k in range(n)] == pytest.approx((s @ y / 4).tolist())
+        assert [got[3 * k]["std_error"] for k in range(n)] == pytest.approx(np.sqrt(np.diag(s)).tolist())
+        found = models.component_logdet(edges.withColumnRenamed("w_raw", "w"), 0.4)
+        assert found == pytest.approx(np.linalg.slogdet(np.eye(n) - 0.4 * a)[1], abs=1e-12)
+        chain = spark.range(20).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.lit(1.0).alias("w_raw"))
+        with pytest.raises(ValueError, match="connected"):
+            models.car_uncertainty(spark.range(21).select(F.col("id").alias("ord"), F.lit(1.0).alias("value")), chain, 4.0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
