@@ -100,3 +100,26 @@ def test_components_are_solved_by_themselves(spark, monkeypatch):
             models.car_uncertainty(spark.range(21).select(F.col("id").alias("ord"), F.lit(1.0).alias("value")), chain, 4.0)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_autoregression_beyond_a_dense_spectrum(spark, monkeypatch):
+    """By levels as by the dense spectrum, with an element that has no neighbours."""
+    rng, n = np.random.default_rng(4), 90
+    at = spark.createDataFrame([(k + 5, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(size=(n, 2)))], "ord long, x double, y double")
+    near = topology.symmetric(topology.nearest(at.where("ord > 5"), at.where("ord > 5"), 3, "xy").drop("rank"))
+    edges = topology.styled(near.select("i", "j", F.lit(1.0).alias("w_raw"))).cache()
+    table = at.select("ord", (F.col("x") + F.sin("ord")).alias("v"), F.col("y").alias("px"))
+    t = edges.toPandas()
+    i, j, v = t["i"].to_numpy() - 5, t["j"].to_numpy() - 5, t["w"].to_numpy()
+    level = models.levels(i, j, n)
+    assert (np.abs(level[i] - level[j]) <= 1).all() and level.min() == 0
+    w = np.zeros((n, n))
+    w[i, j] = v
+    for rho in (-0.9, 0.3, 0.95):
+        assert models.levels_logdet(i, j, v, level, rho) == pytest.approx(np.linalg.slogdet(np.eye(n) - rho * w)[1])
+    for kind in ("sar", "sem"):
+        want = {r["term"]: r["estimate"] for r in models.autoregression(table, edges, "v", ["px"], kind).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(models, "DENSE", 10)
+            got = {r["term"]: r["estimate"] for r in models.autoregression(table, edges, "v", ["px"], kind).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-5, abs=1e-6) for k in want)
