@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,8 +241,8 @@ def regionalise(features: DataFrame, edges: DataFrame, layers: list[str], n_regi
     for end in "ij":
         met = met.join(features.select(F.col("ord").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in layers]), end)
     length = F.sqrt(sum(((F.col(f"{c}_i") - F.col(f"{c}_j")) ** 2 for c in layers[1:]), (F.col(f"{layers[0]}_i") - F.col(f"{layers[0]}_j")) ** 2))
-    t = collected(met.select("i", "j", length.alias("d"))).sort_values(["d", "i", "j"])
-    nodes = [r["ord"] for r in collected(features.select("ord").orderBy("ord")).to_dict("records")]
+    t = collected(met.select("i", "j", length.alias("d")), MOST_EDGES).sort_values(["d", "i", "j"])
+    nodes = np.sort(collected(features.select("ord"), MOST_EDGES)["ord"].to_numpy()).tolist()
     root = {o: o for o in nodes}
 
     def find(x: int) -> int:
@@ -258,8 +259,14 @@ def regionalise(features: DataFrame, edges: DataFrame, layers: list[str], n_regi
             tree.append((d, i, j))
     kept = _cut_tree(nodes, tree, n_regions, min_elements)
     spark = features.sparkSession
-    left = spark.createDataFrame([(i, j) for _, i, j in kept], "i long, j long")
-    return components(left, features.select("ord")).select("ord", F.col("component").alias("region"))
+    # what is left is a forest on the driver already: its parts need no rounds of joins
+    root.update((o, o) for o in nodes)
+    for _, i, j in kept:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    numbers = np.unique(np.array([find(o) for o in nodes], dtype=np.int64), return_inverse=True)[1]
+    found = spark.createDataFrame(pa.table({"ord": np.array(nodes, dtype=np.int64), "region": numbers.astype(np.int64) + 1}))
+    return found.select(F.col("ord").cast(features.schema["ord"].dataType), "region")
 
 
 def _cut_tree(nodes: list[int], tree: list[tuple[float, int, int]], n_regions: int, least: int) -> list[tuple[float, int, int]]:

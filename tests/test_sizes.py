@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework import model
-from latticework.operators import models, multilayer, statistics, support, topology
+from latticework.operators import gis, models, multilayer, statistics, support, topology
 from latticework.sources import exchange
 
 
@@ -123,3 +123,23 @@ def test_autoregression_beyond_a_dense_spectrum(spark, monkeypatch):
             m.setattr(models, "DENSE", 10)
             got = {r["term"]: r["estimate"] for r in models.autoregression(table, edges, "v", ["px"], kind).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-5, abs=1e-6) for k in want)
+
+
+def test_columns_at_once(spark):
+    rng, n = np.random.default_rng(6), 50
+    a = rng.uniform(size=(n, n)) * (rng.uniform(size=(n, n)) < 0.1)
+    a[7] = 0
+    i, j = np.nonzero(a)
+    x, out = rng.normal(size=(n, 3)), np.zeros((n, 3))
+    for rows, steps in multilayer._jagged(i, j, a[i, j], n, 16):
+        for columns, weights in steps:
+            out[rows[: len(columns)]] += weights * x[columns]
+    assert np.allclose(out, a @ x)
+
+
+def test_regions_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(gis, "components", lambda *_: pytest.fail("rounds of joins"))
+    v = spark.createDataFrame([(10 * k, float(k + 50 * (k > 3) + 90 * (k > 6))) for k in range(9)], "ord long, v double")
+    edges = v.select(F.col("ord").alias("i"), (F.col("ord") + 10).alias("j")).where("j < 90")
+    got = gis.regionalise(v, edges, ["v"], 3).orderBy("ord").collect()
+    assert [tuple(r) for r in got] == [(10 * k, 1 + (k > 3) + (k > 6)) for k in range(9)]
